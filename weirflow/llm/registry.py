@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op01_packing import op1_packing
 from .op05_simhash import op5_simhash
 from .op08_rules import op8_rules
 from .op09_mixing import op9_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op8_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_packing, op5_simhash, op8_rules, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
