@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op01_packing import op1_packing
+from .op04_toxicity import op4_toxicity
 from .op05_simhash import op5_simhash
 from .op08_rules import op8_rules
 from .op09_mixing import op9_mixing
+from .op10_language import op10_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_simhash, op8_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_packing, op4_toxicity, op5_simhash, op8_rules, op9_mixing, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
