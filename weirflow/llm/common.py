@@ -4,6 +4,7 @@ tables written there to cut lineage, and salts for hot keys."""
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import sys
 import tempfile
@@ -46,13 +47,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage
-    with files that survive the loss of any executor."""
+    with files that survive the loss of any executor. What plans before it have
+    shuffled is let go, if nothing refers to them any more."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    release(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the JVM look for plans that are out of use: it deletes their shuffle
+    files, which else stay until it happens to need memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def salts(rows: int, per_group: int = 512, most: int = 65536) -> int:
     """How many salts deal `rows` rows of one key into groups of about
     per_group rows (more only beyond per_group * most rows of one key)."""

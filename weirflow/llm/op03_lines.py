@@ -97,8 +97,8 @@ def signatures(lines: DataFrame) -> DataFrame:
     """A row for each different line: key and bands (array of keys)."""
     hashed = lines.select("key", F.explode(word_windows(F.col("line"))).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
     numbers = _permutations(BANDS * ROWS)
-    # Half of a hash is enough for a minimum: the rows that are shuffled get half as wide.
-    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(x)), 32).cast("int")).alias(f"m{k}") for k, x in enumerate(numbers)]
+    # 24 bits are enough for one of four minima: the rows that are shuffled compress to half their size.
+    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(x)), 40).cast("int")).alias(f"m{k}") for k, x in enumerate(numbers)]
     # Only numbers are gathered here, so this stays a hash aggregation; places are structs, which would have all shingles sorted.
     grouped = hashed.groupBy("key").agg(*least)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
