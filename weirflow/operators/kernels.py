@@ -96,7 +96,7 @@ def linear_scan(stream: TokenStream, value: str, keep: float, gain: float = 1.0,
     its own end, a fold over one row a block (n / block rows in one task)."""
     df = stream.df.withColumn("__f", F.expr(f"pos div {block}"))
     rows = df.groupBy("__f").agg(F.sort_array(F.collect_list(F.struct(POS, F.col(value).cast("double").alias("x")))).alias("r"))
-    step = lambda a, r: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0.0)) * keep + r["x"] * gain))
+    step = lambda a, r: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) * keep + r["x"] * gain))
     own = rows.withColumn("s", F.aggregate("r", F.array().cast("array<double>"), step))
     ends = own.select("__f", F.element_at("s", -1).alias("end"), F.size("r").alias("k"))
     carried = ends.agg(F.sort_array(F.collect_list(F.struct("__f", "end", "k"))).alias("e"))

@@ -41,25 +41,28 @@ class TokenStream:
 def from_table(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -> TokenStream:
     """Rows of a table in a total order as tokens.
 
-    Rows are dealt by ranges of the key and sorted within; a range's first
-    position is the number of rows in the ranges before it, of which the driver
-    sees one count a range. No exchange gathers all rows in one partition.
+    Rows are dealt by ranges of the first key, numbered within their range, and
+    a range's first position is the number of rows in the ranges before it, of
+    which the driver sees one count a range. Bounds come from a sample drawn by
+    hash and stand in the plan, so a part that is computed again after a loss
+    numbers its rows as before. No exchange gathers all rows in one partition,
+    and rows that share their first key are the most that one task may get.
     """
     keys = [F.col(c) for c in order_by]
     picked = df.select(*dict.fromkeys([*order_by, *columns]))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The range of a row is stored with it through a persisted exchange, so counts and rows agree.
-    ranged = picked.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
-    split = ranged.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r["__part"]: r.n for r in split.groupBy("__part").agg(F.count("*").alias("n")).collect()}
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p] = total
-        total += counts[p]
-    if not first:
-        return TokenStream(split.select(F.lit(0).cast("bigint").alias(POS), *columns))
-    offsets = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for p in first.items() for x in p]), F.col("__part"))
-    return TokenStream(split.select((offsets + F.col("__row")).alias(POS), *columns))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = sorted({r[0] for r in picked.select(keys[0]).where(keys[0].isNotNull()).orderBy(F.xxhash64(*keys)).limit(32 * parts).collect()})
+    bounds = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= keys[0])) if bounds else F.lit(0)
+    dealt = picked.withColumn("__part", F.when(keys[0].isNull(), F.lit(0)).otherwise(part))
+    counts = {r["__part"]: r.n for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    first, total = [], 0
+    for p in range(len(bounds) + 1):
+        first.append(total)
+        total += counts.get(p, 0)
+    row = F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1
+    offset = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in first]), F.col("__part") + 1)
+    return TokenStream(dealt.withColumn("__row", row).select((offset + F.col("__row")).alias(POS), *columns))
 
 
 def from_dense(df: DataFrame, key: str, columns: Sequence[str], first: int = 0) -> TokenStream:

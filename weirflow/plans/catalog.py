@@ -1,4 +1,7 @@
-"""Registered dataflow queries and their SQL."""
+"""Registered dataflow queries and their SQL.
+
+Stream E is `events` by event_id (which counts its rows), stream O `orders` by
+o_orderkey. Sums of doubles are rounded, since their last bits depend on order."""
 
 from __future__ import annotations
 
@@ -7,14 +10,352 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirflow.functions import motion, neural
+from weirflow.functions.expr import Expression
+from weirflow.operators import kernels as K
+from weirflow.operators import movement as M
+from weirflow.operators.tokens import TokenStream, from_dense, from_table
+from weirflow.plans import repetition
+from weirflow.plans.expand import unroll
+from weirflow.plans.graph import Graph
+from weirflow.plans.lower import complete_iterations, lower
+from weirflow.plans.rewrite import optimize
+from weirflow.plans.runtime import Runtime
+from weirflow.plans.schedule import Platform, Processor, as_table, schedule, statistics
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+E_SQL = "WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value AS v, event_id FROM events) "
+O_SQL = "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_totalprice AS v FROM orders) "
+
+
+def query(sql: str | None, name: str = "") -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql is not None:
+            _SQL[key] = sql
+        return f
+
+    return keep
+
+
+def events(spark: SparkSession, sf: str) -> TokenStream:
+    return from_dense(spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("value").alias("v")), "event_id", ["v"])
+
+
+def orders(spark: SparkSession, sf: str) -> TokenStream:
+    return from_table(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("v")), ["o_orderkey"], ["v"])
+
+
+@query(E_SQL + "SELECT pos // 10 AS pos, round(sum(v) FILTER (pos % 10 < 3), 4) AS s3, round(sum(v) FILTER (pos % 10 >= 3), 4) AS s7 FROM e WHERE pos < (SELECT count(*) // 10 * 10 FROM e) GROUP BY 1")
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """events -> fork(3, 7) -> two sums a firing -> zip, as a graph."""
+    g = Graph("flagship")
+    source = g.add("extern_in", "events", 0, 1)
+    cut = g.add("fork", "cut", 1, 2)
+    a, b = (g.actor(n, 1, 1, K.reduced(s=F.sum("v"))) for n in ("three", "seven"))
+    both = g.actor("both", 2, 1, K.zipped(s3=F.round("i0_s", 4), s7=F.round("i1_s", 4)))
+    out = g.add("extern_out", "result", 1, 0)
+    g.edge(source, 0, 10, cut, 0, 10)
+    g.edge(cut, 0, 3, a, 0, 3)
+    g.edge(cut, 1, 7, b, 0, 7)
+    g.edge(a, 0, 1, both, 0, 1)
+    g.edge(b, 0, 1, both, 1, 1)
+    g.edge(both, 0, 1, out, 0, 1)
+    stream = events(spark, sf)
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    return lower(g, spark, {"events": stream}, complete_iterations(g, "events", n)).outputs["result"].df
+
+
+@query(E_SQL + "SELECT pos // 10 * 3 + pos % 10 AS pos, v FROM e WHERE pos % 10 < 3")
+def fork_slice_0(spark: SparkSession, sf: str) -> DataFrame:
+    return M.fork(events(spark, sf), 10, [3, 7])[0].df
+
+
+@query(E_SQL + "SELECT pos // 10 * 7 + pos % 10 - 3 AS pos, v FROM e WHERE pos % 10 >= 3")
+def fork_slice_1(spark: SparkSession, sf: str) -> DataFrame:
+    return M.fork(events(spark, sf), 10, [3, 7])[1].df
+
+
+@query(E_SQL + "SELECT pos, v FROM e")
+def join_concat(spark: SparkSession, sf: str) -> DataFrame:
+    return M.join(M.fork(events(spark, sf), 10, [3, 7]), [3, 7], 10).df
+
+
+@query(E_SQL + "SELECT pos // 10 * 4 + pos % 10 AS pos, v FROM e WHERE pos % 10 < 4")
+def head_block(spark: SparkSession, sf: str) -> DataFrame:
+    return M.head([events(spark, sf)], [10], 4).df
+
+
+@query(E_SQL + "SELECT pos // 10 * 4 + pos % 10 - 6 AS pos, v FROM e WHERE pos % 10 >= 6")
+def tail_block(spark: SparkSession, sf: str) -> DataFrame:
+    return M.tail([events(spark, sf)], [10], 4).df
+
+
+@query(E_SQL + "SELECT pos // 10 * 5 + pos % 10 AS pos, v FROM e WHERE pos % 10 < 5")
+def head_two_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return M.head(M.fork(events(spark, sf), 10, [3, 7]), [3, 7], 5).df
+
+
+@query(E_SQL + "SELECT pos // 10 * 8 + pos % 10 - 2 AS pos, v FROM e WHERE pos % 10 >= 2")
+def tail_two_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return M.tail(M.fork(events(spark, sf), 10, [3, 7]), [3, 7], 8).df
+
+
+@query(E_SQL + "SELECT f * 25 + j AS pos, v FROM (SELECT DISTINCT pos // 10 AS f FROM e) CROSS JOIN (SELECT range AS j FROM range(25)) JOIN e ON e.pos = f * 10 + j % 10")
+def repeat_cyclic(spark: SparkSession, sf: str) -> DataFrame:
+    return M.repeat(events(spark, sf), 10, 25).df
+
+
+@query(E_SQL + "SELECT pos // 10 * 4 + pos % 10 AS pos, v FROM e WHERE pos % 10 < 4")
+def repeat_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    return M.repeat(events(spark, sf), 10, 4).df
+
+
+@query(E_SQL + "SELECT 0 AS port, pos, v FROM e UNION ALL SELECT 1, pos, v FROM e UNION ALL SELECT 2, pos, v FROM e")
+def duplicate_broadcast(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [s.df.withColumn("port", F.lit(k)) for k, s in enumerate(M.duplicate(events(spark, sf), 3))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT range AS pos, CAST(0 AS BIGINT) AS v FROM range(12)")
+def init_zeros(spark: SparkSession, sf: str) -> DataFrame:
+    g = Graph("init")
+    a, b = g.add("init", "zeros", 0, 1), g.add("extern_out", "out", 1, 0)
+    g.edge(a, 0, 12, b, 0, 12)
+    return lower(g, spark).outputs["out"].df
+
+
+@query(E_SQL + "SELECT pos, coalesce(lag(v, 3) OVER (ORDER BY pos), 0) AS v FROM e")
+def persistent_delay_lag(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    return M.persistent_delay(events(spark, sf), 3, n)[0].df
+
+
+@query(E_SQL + "SELECT pos, coalesce(lag(v, 2) OVER (PARTITION BY pos // 10 ORDER BY pos), 0) AS v FROM e")
+def local_delay_reset(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    return M.local_delay(events(spark, sf), 2, 10, n // 10)[0].df
+
+
+@query(E_SQL + "SELECT pos // 10 * 2 + pos % 10 - 8 AS pos, v FROM e WHERE pos % 10 >= 8")
+def local_delay_getter(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    return M.local_delay(events(spark, sf), 2, 10, n // 10)[1].df
+
+
+def _nested(spark: SparkSession, sf: str, outer_in: int, inner_in: int, inner_out: int, outer_out: int) -> DataFrame:
+    """events -> nested graph with one actor between its interfaces -> out."""
+    g = Graph("top")
+    source, out = g.add("extern_in", "events", 0, 1), g.add("extern_out", "out", 1, 0)
+    s = g.subgraph("nested", 1, 1)
+    g.edge(source, 0, outer_in * 2, s, 0, outer_in)
+    g.edge(s, 0, outer_out, out, 0, outer_out * 2)
+    work = s.actor("work", 1, 1, K.mapped(v=F.col("v") * 2))
+    s.edge(s.input(0), 0, outer_in, work, 0, inner_in)
+    s.edge(work, 0, inner_out, s.output(0), 0, outer_out)
+    n = spark.read.parquet(f"{sf}/events.parquet").count() // (outer_in * 2)
+    return lower(g, spark, {"events": events(spark, sf)}, n).outputs["out"].df
+
+
+@query(E_SQL + "SELECT f * 12 + j AS pos, v * 2 AS v FROM (SELECT DISTINCT pos // 5 AS f FROM e) CROSS JOIN (SELECT range AS j FROM range(12)) JOIN e ON e.pos = f * 5 + j % 5")
+def interface_input_repeat(spark: SparkSession, sf: str) -> DataFrame:
+    return _nested(spark, sf, 5, 12, 12, 12)
+
+
+@query(E_SQL + "SELECT pos // 5 * 2 + pos % 5 - 3 AS pos, v * 2 AS v FROM e WHERE pos % 5 >= 3")
+def interface_output_tail(spark: SparkSession, sf: str) -> DataFrame:
+    return _nested(spark, sf, 5, 5, 5, 2)
+
+
+@query(E_SQL + "SELECT pos // 10 AS pos, round(sum(v), 4) AS total, max(v) AS most, count(*) AS n FROM e GROUP BY 1")
+def firing_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    f = K.Firing(spark, [events(spark, sf)], [10], [1], [], 0)
+    return K.reduced(total=F.round(F.sum("v"), 4), most=F.max("v"), n=F.count("*"))(f)[0].df
+
+
+@query(E_SQL.rstrip() + ", o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_totalprice AS w FROM orders) SELECT e.pos, v, w FROM e JOIN o USING (pos)")
+def firing_zip(spark: SparkSession, sf: str) -> DataFrame:
+    o = orders(spark, sf)
+    return K.zipped(v=F.col("i0_v"), w=F.col("i1_v"))(K.Firing(spark, [events(spark, sf), o], [1, 1], [1], [], 0))[0].df
+
+
+@query(E_SQL + "SELECT e.pos, round(s, 4) AS v FROM e JOIN (SELECT pos // 10 AS f, sum(v) AS s FROM e GROUP BY 1) ON f = pos // 10")
+def downsample_upsample(spark: SparkSession, sf: str) -> DataFrame:
+    sums = K.reduced(v=F.round(F.sum("v"), 4))(K.Firing(spark, [events(spark, sf)], [10], [1], [], 0))[0]
+    return M.repeat(sums, 1, 10).df
+
+
+@query(E_SQL + "SELECT pos, round(v - avg(v) OVER (PARTITION BY pos // 10), 4) AS v FROM e")
+def arrow_kernel(spark: SparkSession, sf: str) -> DataFrame:
+    centred = K.arrow(lambda c: {"v": (c["v"] - c["v"].mean()).round(10)}, "v double")(K.Firing(spark, [events(spark, sf)], [10], [10], [], 0))[0]
+    return centred.df.select("pos", F.round("v", 4).alias("v"))
+
+
+@query(O_SQL + "SELECT pos, v FROM o")
+def position_by_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return orders(spark, sf).df
+
+
+#: Expressions over x = o_totalprice / 100000 and k = o_orderkey mod 7, and their SQL.
+EXPRESSIONS = {
+    "add": ("x + 2", "x + 2"), "subtract": ("x - 2", "x - 2"), "multiply": ("3x", "3 * x"), "divide": ("x / 4", "x / 4"), "modulo": ("x % 2", "fmod(x, 2)"), "power": ("x ^ 2", "pow(x, 2)"),
+    "factorial": ("k!", "CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE)"),
+    "equal": ("k == 3", "CASE WHEN k = 3 THEN 1.0 ELSE 0.0 END"), "not_equal": ("k != 3", "CASE WHEN k <> 3 THEN 1.0 ELSE 0.0 END"),
+    "greater": ("x > 1", "CASE WHEN x > 1 THEN 1.0 ELSE 0.0 END"), "greater_equal": ("k >= 3", "CASE WHEN k >= 3 THEN 1.0 ELSE 0.0 END"),
+    "less": ("x < 1", "CASE WHEN x < 1 THEN 1.0 ELSE 0.0 END"), "less_equal": ("k <= 3", "CASE WHEN k <= 3 THEN 1.0 ELSE 0.0 END"),
+    **{f: (f"{f}(x)", f"{f}(x)") for f in ("cos", "sin", "tan", "cosh", "sinh", "tanh", "exp", "ceil", "floor", "abs", "sqrt")},
+    "log": ("log(x)", "ln(x)"), "log2": ("log2(x)", "log2(x)"), "log10": ("log10(x)", "log10(x)"),
+    "max": ("max(x, 1.5)", "greatest(x, 1.5)"), "min": ("min(x, 1.5)", "least(x, 1.5)"),
+    "if": ("if(x > 1, x, k)", "CASE WHEN x > 1 THEN x ELSE k END"), "and": ("and(k, x > 1)", "CASE WHEN k <> 0 AND x > 1 THEN 1.0 ELSE 0.0 END"), "or": ("or(k, x > 1)", "CASE WHEN k <> 0 OR x > 1 THEN 1.0 ELSE 0.0 END"),
+    "constants": ("pi * x + e", "pi() * x + exp(1)"), "precedence": ("4 * k % 3 + 2 ^ 2", "4 * fmod(k, 3) + 4"),
+}
+
+
+def _expression(text: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("x"), (F.col("o_orderkey") % 7).cast("double").alias("k"))
+        return o.select("o_orderkey", F.round(Expression(text).column(), 9).alias("y"))
+
+    return run
+
+
+for _name, (_text, _sql) in EXPRESSIONS.items():
+    query(f"SELECT o_orderkey, round(CAST({_sql} AS DOUBLE), 9) AS y FROM (SELECT o_orderkey, o_totalprice / 100000 AS x, CAST(o_orderkey % 7 AS DOUBLE) AS k FROM orders)", f"expr_{_name}")(_expression(_text))
+
+
+@query("SELECT range AS k, greatest(-1, CAST(floor((range * 3 - 4) / 2.0) AS BIGINT)) AS first, greatest(-1, CAST(floor((range * 3 + 3 - 4 - 1) / 2.0) AS BIGINT)) AS last FROM range(1000)")
+def dependency_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.lineage(spark, 3, 2, 4, 1000).select("k", "first", "last")
+
+
+@query("SELECT range AS k, CASE WHEN (range * 2 + 4) // 3 >= 600 THEN -1 ELSE (range * 2 + 4) // 3 END AS first, CASE WHEN (range * 2 + 4) // 3 >= 600 THEN -1 ELSE least(599, (range * 2 + 5) // 3) END AS last FROM range(1000)")
+def consumer_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.consumers(spark, 3, 2, 4, 1000, 600)
+
+
+@query("SELECT * FROM (VALUES ('v0', 2), ('v1', 2), ('nested', 1), ('v4', 1)) t(actor, firings)")
+def repetition_vector(spark: SparkSession, sf: str) -> DataFrame:
+    g = _three_levels()
+    return spark.createDataFrame([(v.name, n) for v, n in repetition.repetitions(g).items()], "actor string, firings int")
+
+
+def _three_levels() -> Graph:
+    g = Graph("top")
+    v0, v1, v4 = g.actor("v0", 0, 1), g.actor("v1", 1, 1), g.actor("v4", 1, 0)
+    s = g.subgraph("nested", 1, 1)
+    g.persistent_delay(g.edge(v0, 0, 1, v1, 0, 1), 1)
+    g.edge(v1, 0, 1, s, 0, 2)
+    g.edge(s, 0, 5, v4, 0, 5)
+    work = s.actor("v2", 1, 1)
+    s.edge(s.input(0), 0, 2, work, 0, 2)
+    s.edge(work, 0, 5, s.output(0), 0, 5)
+    return g
+
+
+@query("SELECT * FROM (VALUES ('before', 8, 7), ('after', 6, 5)) t(form, nodes, links)")
+def rewrite_fork_fork(spark: SparkSession, sf: str) -> DataFrame:
+    g = Graph("forks")
+    a = g.actor("a", 0, 1)
+    forks = [g.add("fork", f"f{k}", 1, 2) for k in range(3)]
+    g.edge(a, 0, 4, forks[0], 0, 4)
+    for k in (0, 1):
+        g.edge(forks[0], k, 2, forks[k + 1], 0, 2)
+    for k in range(4):
+        g.edge(forks[k // 2 + 1], k % 2, 1, g.actor(f"v{k}", 1, 0), 0, 1)
+    u = unroll(g)
+    rows = [("before", len(u.nodes), len(u.links))]
+    optimize(u)
+    return spark.createDataFrame([*rows, ("after", len(u.nodes), len(u.links))], "form string, nodes int, links int")
+
+
+@query(E_SQL + "SELECT pos // 10 * 4 + pos % 10 - 3 AS pos, v FROM e WHERE pos % 10 BETWEEN 3 AND 6")
+def join_then_fork(spark: SparkSession, sf: str) -> DataFrame:
+    whole = M.join(M.fork(events(spark, sf), 10, [5, 5]), [5, 5])
+    return M.fork(whole, 10, [3, 4, 3])[1].df
+
+
+@query("SELECT vec_id, round(sum(CAST(x AS DOUBLE) * (i % 5 - 2)) + 0.5, 5) AS y FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY vec_id")
+def mlp_neuron(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.array(*[F.lit(float(k % 5 - 2)) for k in range(64)])
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.round(neural.neuron(F.col("embedding"), w, F.lit(0.5)), 5).alias("y"))
+
+
+@query("SELECT event_id, round(tanh(value / 100), 6) AS tanh, greatest(value / 100, 0) AS relu, round(value / 100 / (1 + abs(value / 100)), 6) AS softsign, round(1 / (1 + exp(-value / 100)), 6) AS logistic, round(1 - pow(tanh(value / 100), 2), 6) AS d_tanh FROM events")
+def mlp_activations(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("value") / 100
+    a = neural.ACTIVATIONS
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(a["tanh"](x), 6).alias("tanh"), a["relu"](x).alias("relu"), F.round(a["softsign"](x), 6).alias("softsign"), F.round(a["logistic"](x), 6).alias("logistic"), F.round(neural.DERIVATIVES["tanh"](x), 6).alias("d_tanh"))
+
+
+@query("SELECT event_id, round(value / 100 - 0.001 * (m / (1 - pow(0.9, 2))) / (sqrt(v / (1 - pow(0.999, 2))) + 1e-8), 6) AS param, round(m, 6) AS m, round(v, 6) AS v FROM (SELECT event_id, value, 0.9 * 0.1 + 0.1 * value / 50 AS m, 0.999 * 0.2 + 0.001 * value / 50 * value / 50 AS v FROM events)")
+def adam_step(spark: SparkSession, sf: str) -> DataFrame:
+    found = neural.adam(F.col("value") / 100, F.col("value") / 50, F.lit(0.1), F.lit(0.2), 2)
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
+@query("SELECT event_id, round(value + 0.99 * user_id - 3, 5) AS error, least(50, greatest(-50, value)) AS clipped FROM events")
+def temporal_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(neural.td_error(F.col("value"), F.col("user_id"), F.lit(3)), 5).alias("error"), neural.clip(F.col("value"), -50.0, 50.0).alias("clipped"))
+
+
+_COV = "WITH e AS (SELECT event_id // 50 AS b, CAST(floor(value) AS BIGINT) AS x, user_id % 100 AS y FROM events), s AS (SELECT b, count(*) AS n, CAST(sum(x) AS BIGINT) // count(*) AS mx, CAST(sum(y) AS BIGINT) // count(*) AS my FROM e GROUP BY b) "
+
+
+@query(_COV + "SELECT b, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, round(sum((x - mx) * (x - mx)) / (any_value(n) - 1), 4) AS cxx, round(sum((y - my) * (y - my)) / (any_value(n) - 1), 4) AS cyy, round(sum((x - mx) * (y - my)) / (any_value(n) - 1), 4) AS cxy FROM e JOIN s USING (b) GROUP BY b")
+def block_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id div 50 AS b", "CAST(floor(value) AS BIGINT) AS x", "user_id % 100 AS y")
+    return motion.block_statistics(e, "b", "x", "y").select("b", "n", "mx", "my", *[F.round(c, 4).alias(c) for c in ("cxx", "cyy", "cxy")])
+
+
+@query("WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value AS v FROM events WHERE event_id < 3000), r AS (SELECT pos, v AS acc FROM e WHERE pos = 0 UNION ALL SELECT e.pos, 0.98 * r.acc + e.v FROM r JOIN e ON e.pos = r.pos + 1) SELECT pos, round(acc, 4) AS acc FROM r")
+def accumulate_motion(spark: SparkSession, sf: str) -> DataFrame:
+    """acc' = 0.98 acc + v over the first 3000 tokens: the recursion of the SQL side takes as many steps."""
+    first = events(spark, sf).at("pos", "pos < 3000")
+    return K.linear_scan(first, "v", 0.98, block=256).df.select("pos", F.round("acc", 4).alias("acc"))
+
+
+@query(E_SQL.rstrip() + ", n AS (SELECT 2 + count(*) % 3 AS n FROM nation) SELECT pos // n AS pos, round(sum(v), 4) AS total FROM e, n WHERE pos < (SELECT count(*) FROM e) // n * n GROUP BY 1")
+def dynamic_rate_config(spark: SparkSession, sf: str) -> DataFrame:
+    """A config actor sets the rate from a table, the graph is lowered with it."""
+    g = Graph("dynamic")
+    width = g.dynamic_param("width")
+    g.config("set", 0, 0, lambda s, _: [2 + s.read.parquet(f"{sf}/nation.parquet").count() % 3]).output_params(width)
+    source, out = g.add("extern_in", "events", 0, 1), g.add("extern_out", "out", 1, 0)
+    total = g.actor("sum", 1, 1, K.reduced(total=F.round(F.sum("v"), 4)))
+    g.edge(source, 0, "width * blocks", total, 0, "width")
+    g.edge(total, 0, 1, out, 0, "blocks")
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    g.static_param("tokens", n)
+    g.derived_param("blocks", "floor(tokens / max(width, 1))")
+    return Runtime(g, spark).run({"events": events(spark, sf)}).outputs["out"].df
+
+
+@query(None)
+def schedule_list_bestfit(spark: SparkSession, sf: str) -> DataFrame:
+    platform = Platform([Processor("p0", 0, True), Processor("p1", 0), Processor("p2", 1)])
+    return statistics(as_table(spark, schedule(unroll(_three_levels()), platform)))
+
+
+@query(None)
+def pendulum_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", (F.col("value") / 100).alias("torque"))
+    return neural.pendulum(e, "user_id", "event_id", "torque")
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+@query("WITH p AS (SELECT event_id // 240 AS frame, event_id % 240 // 20 AS y, event_id % 20 AS x, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id < 960), b AS (SELECT *, y // 4 * 5 + x // 4 AS block FROM p), s AS (SELECT a.range AS dx, c.range AS dy FROM range(-2, 3) a, range(-1, 2) c), c AS (SELECT b.frame, b.block, dx, dy, CAST(sum((b.v - q.v) * (b.v - q.v)) AS BIGINT) // count(*) AS cost, count(*) AS k FROM b, s, p q WHERE q.frame + 1 = b.frame AND q.x = b.x + dx AND q.y = b.y + dy GROUP BY ALL) SELECT frame, block, dx, dy, cost FROM c WHERE 2 * k >= 16 QUALIFY row_number() OVER (PARTITION BY frame, block ORDER BY cost, dy, dx) = 1")
+def block_motion(spark: SparkSession, sf: str) -> DataFrame:
+    pixels = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 960").selectExpr("event_id div 240 AS frame", "event_id % 240 div 20 AS y", "event_id % 20 AS x", "CAST(floor(value) AS BIGINT) AS v")
+    found = motion.motion_vectors(motion.blocks(pixels, 4, 4, 20, 12), pixels, 2, 1)
+    return found.select("frame", "block", F.col("dx").cast("bigint").alias("dx"), F.col("dy").cast("bigint").alias("dy"), "cost")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"}
+    return dict(_SQL)
