@@ -92,11 +92,11 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """Segments `first` up to `last` of the filter over `ranges` ranges."""
 
-    def __init__(self, segments: list[bytes], first: int, ranges: int):
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.sizes = np.array([8 * len(s) for s in segments], np.uint64)
+    def __init__(self, segments: bytes, sizes: list[int], first: int, ranges: int):
+        self.bits = np.frombuffer(segments, np.uint8)
+        self.sizes = 8 * np.array(sizes, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
-        self.first, self.last, self.ranges = first, first + len(segments), ranges
+        self.first, self.last, self.ranges = first, first + len(sizes), ranges
 
     def counts(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Counts as lower ends of the levels found by probing; 0 if none."""
@@ -253,7 +253,7 @@ def discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if ones else 0.5
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", batch_tokens: int = 1_000_000, range_words: int = 500_000, range_pairs: int = 2_000_000, shard_bytes: int = 128 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", batch_tokens: int = 1_000_000, range_words: int = 500_000, range_pairs: int = 1_000_000, shard_bytes: int = 48 << 20) -> DataFrame:
     """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. held_out is a condition on the columns of docs."""
     spark = docs.sparkSession
@@ -316,8 +316,11 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
 
     results = []
     for own in shards:
-        bits = {r.range: bytes(r.bits) for r in built.where(F.col("range").between(own[0], own[-1])).select("range", "bits").collect()}  # shard_bytes at most, or one segment
-        shared = spark.sparkContext.broadcast(([bits.get(r, bytes(8)) for r in own], own[0], parts))
+        bits = {r.range: r.bits for r in built.where(F.col("range").between(own[0], own[-1])).select("range", "bits").collect()}  # shard_bytes at most, or one segment
+        sizes = [len(bits.get(r, bytes(8))) for r in own]
+        blob = b"".join(bits.pop(r, bytes(8)) for r in own)
+        shared = spark.sparkContext.broadcast((blob, sizes, own[0], parts))
+        del bits, blob
         results.append(joined.mapInArrow(scorer(shared), schema))
     out = results[0]
     if len(results) > 1:
