@@ -97,31 +97,49 @@ class Index:
         return [o[: max(self.probes, n)] for o, n in zip(order, enough, strict=True)]
 
 
-def scan(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows of x that may be among the k nearest of q, by adaptive dimension
-    scan; x is in column blocks, a list of (rows, block) arrays."""
-    n, total = len(x[0]), sum(b.shape[1] for b in x)
+def groups_first(group: np.ndarray, n: int) -> np.ndarray:
+    """Of rows sorted by group, which are among the first n of theirs."""
+    start = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    return np.arange(len(group)) - np.repeat(start, np.diff(start, append=len(group))) < n
+
+
+def scan(q: np.ndarray, x: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of rows that may be among the k nearest of a query, by
+    adaptive dimension scan of all queries at once; x is in column blocks. The
+    first block is one matrix product; from the second on only pairs that no
+    test has abandoned are looked at."""
+    n, total = len(x[0]), q.shape[1]
     starts = np.cumsum([0, *(b.shape[1] for b in x)])
-
-    def whole(rows: np.ndarray) -> np.ndarray:
-        return sum(((b[rows] - q[s : s + b.shape[1]]) ** 2).sum(1) for b, s in zip(x, starts, strict=False))
-
-    # The bound starts from a few rows measured in full and tightens as survivors are.
-    first = np.arange(min(n, 4 * k))
-    known = whole(first)
-    bound = np.partition(known, k - 1)[k - 1] if len(first) >= k else np.inf
-    alive, partial = np.arange(n), np.zeros(n, np.float32)
-    for b, s in zip(x, starts, strict=False):
-        partial = partial + ((b[alive] - q[s : s + b.shape[1]]) ** 2).sum(1)
-        d = s + b.shape[1]
-        if d == total:
-            break
-        keep = partial * (total / d) <= bound * (1 + CONFIDENCE / np.sqrt(d)) ** 2
-        alive, partial = alive[keep], partial[keep]
-    if len(alive) > k:
-        # Equal distances differ by rounding; the exact scores decide between them.
-        alive = alive[partial <= np.partition(partial, k - 1)[k - 1] * (1 + 1e-4) + 1e-6]
-    return alive
+    parts = [q[:, s : s + b.shape[1]] for b, s in zip(x, starts, strict=False)]
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
+
+    # A query's bound comes from some rows measured in full.
+    some = min(n, 4 * k)
+    bound = np.full(len(q), np.inf, np.float32)
+    if some >= k:
+        bound = np.partition(sum(apart(a, b[:some]) for a, b in zip(parts, x, strict=True)), k - 1, axis=1)[:, k - 1]
+    d = x[0].shape[1]
+    partial = apart(parts[0], x[0])
+    near = partial * (total / d) <= bound[:, None] * (1 + CONFIDENCE / np.sqrt(d)) ** 2 + 1e-6
+    of, row = np.nonzero(near)
+    partial = partial[near]
+    for a, b in zip(parts[1:], x[1:], strict=True):
+        gap = b[row] - a[of]
+        partial = partial + np.einsum("ij,ij->i", gap, gap)
+        d += b.shape[1]
+        if d < total:
+            keep = partial * (total / d) <= bound[of] * (1 + CONFIDENCE / np.sqrt(d)) ** 2 + 1e-6
+            of, row, partial = of[keep], row[keep], partial[keep]
+    # Equal distances differ by rounding; the exact scores decide between them.
+    order = np.lexsort((partial, of))
+    of, row, partial = of[order], row[order], partial[order]
+    last = groups_first(of, k)
+    bound = np.zeros(len(q), np.float32)
+    np.maximum.at(bound, of[last], partial[last])
+    keep = partial <= bound[of] * (1 + 1e-4) + 1e-5
+    return of[keep], row[keep]
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", sample_rows: int = 10_000, chunk_rows: int = 2048, seed: int = 0) -> DataFrame:
@@ -176,12 +194,17 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id: str = "
         if len(x) and asks.any():
             turned = rotated(x, shared.value["longest"], shared.value["rotation"])
             blocks = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, turned.shape[1], BLOCK)]
-            for q_id, q, r in zip(ids[asks], v[asks], rotated(v[asks], shared.value["longest"], shared.value["rotation"], True), strict=True):
-                near = scan(r, blocks, k + 1)
-                near = near[x_ids[near] != q_id]
-                score = (x[near] * q).sum(1)  # row by row, so equal vectors score alike
-                best = np.lexsort((x_ids[near], -score))[:k]
-                found.append(pd.DataFrame({"query_id": q_id, "vec_id": x_ids[near][best], "score": score[best]}))
+            own, step = ids[asks], max(1, (1 << 20) // len(x))  # a million pairs at once
+            for at in range(0, len(own), step):
+                q, q_ids = v[asks][at : at + step], own[at : at + step]
+                of, row = scan(rotated(q, shared.value["longest"], shared.value["rotation"], True), blocks, k + 1)
+                other = x_ids[row] != q_ids[of]
+                of, row = of[other], row[other]
+                score = (x[row] * q[of]).sum(1)  # row by row, so equal vectors score alike
+                order = np.lexsort((x_ids[row], -score, of))
+                of, row, score = of[order], row[order], score[order]
+                best = groups_first(of, k)
+                found.append(pd.DataFrame({"query_id": q_ids[of[best]], "vec_id": x_ids[row[best]], "score": score[best]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     hits = held.unionByName(asked).groupBy("g").applyInPandas(meet, "query_id bigint, vec_id bigint, score double")
