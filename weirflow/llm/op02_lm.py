@@ -70,9 +70,13 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, counts, "right")
 
 
+def salt(level: int) -> np.uint64:
+    return np.uint64(level * int(C2) & (1 << 64) - 1)
+
+
 def places(keys: np.ndarray, level: int, sizes: np.ndarray):
     """The HASHES bits of (key, level) in segments of the given sizes."""
-    h = mix(keys + np.uint64(level) * C2)
+    h = mix(keys + salt(level))
     step = (h >> np.uint64(33)) | np.uint64(1)
     for i in range(HASHES):
         yield (h + np.uint64(i) * step) % sizes
@@ -104,7 +108,7 @@ class Filter:
         alive = np.arange(len(keys))
         for k in range(1, len(LEVELS) + 1):
             size, start = self.sizes[segment[alive]], self.starts[segment[alive]]
-            h = mix(keys[alive] + np.uint64(k) * C2)
+            h = mix(keys[alive] + salt(k))
             step = (h >> np.uint64(33)) | np.uint64(1)
             for i in range(HASHES):
                 at = (h + np.uint64(i) * step) % size + start
@@ -223,13 +227,15 @@ def segments(held: DataFrame, ranges: int) -> DataFrame:
                 learn = np.repeat(~np.array(flags), sizes)
                 # Words are in order of their hashes, and so are pairs by their first word.
                 pair = before[learn].astype(np.int64) << 32 | (word[learn] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                if not len(pair):
+                    continue
                 pair, n = np.unique(pair, return_counts=True)
                 a = h[pair >> 32]
                 r = range_of(a, ranges)
                 cut = np.flatnonzero(np.diff(r, prepend=r[:1] + np.uint64(1)))
                 end = [*cut[1:], len(pair)]
                 rows = [(int(r[s]), pack(a[s:e].tobytes()), (pair[s:e] & 0xFFFFFFFF).astype(np.uint32).tobytes(), pack(n[s:e].astype(np.uint32).tobytes())) for s, e in zip(cut, end, strict=True)]
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["range", "a", "w", "n"])
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:

@@ -60,6 +60,10 @@ def windows(line: Column, size: int = SHINGLE) -> Column:
     return F.when(F.length(line) <= size, F.array(line)).otherwise(found)
 
 
+def distinct_windows(line: Column) -> Column:
+    return F.array_distinct(F.transform(windows(line), lambda x: F.xxhash64(x)))
+
+
 def word_windows(line: Column, size: int = SHINGLE) -> Column:
     """The windows that start a word, the last ones shorter; the line itself if it has no word."""
     found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{0,{size - 1}}}))"), F.lit(1))
@@ -68,8 +72,8 @@ def word_windows(line: Column, size: int = SHINGLE) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+    either = F.size(F.array_union(a, b))
+    return (F.size(a) + F.size(b) - either) / either
 
 
 def bitmap(keys: DataFrame, key: str) -> DataFrame:
@@ -121,9 +125,13 @@ def similar_lines(lines: DataFrame, found: DataFrame, similarity: float = 0.8) -
     pairs = stored(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = marked(lines.select("key", "line"), "key", bitmap(ends, "key")).where("__hit").groupBy("key").agg(F.min("line").alias("line"))
-    sets = stored(texts.select("key", F.array_distinct(F.transform(windows(F.col("line")), lambda x: F.xxhash64(x))).alias("s")), "windows")
-    verified = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    return verified.where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+    texts = stored(texts, "texts")
+    # Texts travel, not their windows, which are eight times as large; a pair's sets exist in its own row only.
+    sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
+    sets = sides.select("a", "b", distinct_windows(F.col("la")).alias("sa"), distinct_windows(F.col("lb")).alias("sb"))
+    # An exploded value is computed once; a plain column would be computed again for each use in the filter.
+    sized = sets.select("a", "b", F.explode(F.array(jaccard(F.col("sa"), F.col("sb")))).alias("similarity"))
+    return sized.where(F.col("similarity") >= similarity).select("a", "b")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -121,7 +121,7 @@ class ArchiveWriter:
         """(archive, offset, length) of the record's frame."""
         if self.out is None:
             self.file = f"{self.name}-{self.n:05d}.warc.zst"
-            self.out = self.fs.open_output_stream(f"{self.path.rstrip('/')}/{self.file}")
+            self.out = self.fs.open_output_stream(f"{self.path.rstrip('/')}/{self.file}", compression=None)
             self.at = self.out.write(dictionary_frame(self.dictionary))
             self.n += 1
         frame = self.compressor.compress(raw)
@@ -148,7 +148,7 @@ def scan_archive(uri: str) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, record) by reading frame after frame: at any time one
     record and one block of the file are in memory."""
     fs, path = _file_system(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != DICTIONARY_MAGIC:
             raise ValueError("no dictionary frame")
