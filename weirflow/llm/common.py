@@ -4,7 +4,6 @@ tables written there to cut lineage, and salts for hot keys."""
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import sys
 import tempfile
@@ -19,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as plain characters, for translate().
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Has a finished query's shuffle files deleted at once instead of when the JVM happens to collect its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Functions of this package travel by value, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
@@ -47,22 +49,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage
-    with files that survive the loss of any executor. What plans before it have
-    shuffled is let go, if nothing refers to them any more."""
+    with files that survive the loss of any executor. Once the table is written
+    nothing reads what was shuffled for it, so Spark is asked to delete that."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    release(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the JVM look for plans that are out of use: it deletes their shuffle
-    files, which else stay until it happens to need memory."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def salts(rows: int, per_group: int = 512, most: int = 65536) -> int:
     """How many salts deal `rows` rows of one key into groups of about
     per_group rows (more only beyond per_group * most rows of one key)."""

@@ -146,10 +146,12 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     alone = found.where("first <> last").join(linked.select("key"), "key", "left_anti").select("key", F.col("first").alias("keeper"))
     repeated = stored(linked.unionByName(alone), "repeated")
     places = marked(lines.select("key", "doc", "rid", "pos"), "key", bitmap(repeated, "key")).where("__hit").drop("__hit")
-    dropped = places.join(repeated, "key").where(~F.struct("doc", "rid", "pos").eqNullSafe(F.col("keeper"))).select("rid", "pos")
+    stays = F.struct("doc", "rid", "pos").eqNullSafe(F.col("keeper"))
+    hits = stored(places.join(repeated, "key").select("rid", "pos", stays.alias("stays")), "hits")
+    dropped = hits.where("NOT stays").select("rid", "pos")
     # Rows that are equal in id and text have places in common: a place seen twice marks them.
     twice = F.max(F.when(F.col("n") > 1, F.lit(True)).otherwise(F.lit(False)))
-    kept_twice = places.join(repeated, "key").where(F.struct("doc", "rid", "pos").eqNullSafe(F.col("keeper"))).groupBy("rid", "pos").agg(F.count("*").alias("n")).where("n > 1")
+    kept_twice = hits.where("stays").groupBy("rid", "pos").agg(F.count("*").alias("n")).where("n > 1")
     out = dropped.groupBy("rid", "pos").agg(F.count("*").alias("n")).groupBy("rid").agg(F.collect_list("pos").alias("drop"), twice.alias("again"))
     again = kept_twice.groupBy("rid").agg(F.lit(True).alias("kept_again"))
     out = out.join(again, "rid", "full").select(F.col("rid").alias("__rid2"), F.coalesce("drop", F.array().cast("array<int>")).alias("__drop"), (F.coalesce("again", F.lit(False)) | F.coalesce("kept_again", F.lit(False))).alias("__again"))
