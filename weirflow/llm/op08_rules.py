@@ -149,3 +149,31 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(led, CURRENT).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "failure_bits"
     )
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+starts AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (
+    SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM starts) GROUP BY doc_id
+),
+m AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+        coalesce(list_max(list_transform(words, lambda x: length(x))), 0) AS longest
+    FROM w LEFT JOIN covered USING (doc_id)
+),
+l AS (
+    SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words * 5)::INT
+        + 8 * (n_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::INT
+        + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 14 * n_words))::INT
+        + 32 * (longest > 400)::INT + 64 * (n_words > 1000000)::INT AS BIGINT) AS failure_bits FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 AS base_failed, failure_bits & 63 = 0 AS kept, failure_bits FROM l
+"""

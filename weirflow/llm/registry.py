@@ -14,6 +14,7 @@ from .op05_simhash import op5_simhash
 from .op06_warc import ORACLE as WARC_SQL
 from .op06_warc import op6_warc
 from .op07_ann import op7_ann
+from .op08_rules import ORACLE as RULES_SQL
 from .op08_rules import op8_rules
 from .op09_mixing import op9_mixing
 from .op10_language import op10_language
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC_SQL}
+    return {"op6_warc": WARC_SQL, "op8_rules": RULES_SQL}
