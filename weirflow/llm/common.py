@@ -71,6 +71,16 @@ def salts(rows: int, per_group: int = 512, most: int = 65536) -> int:
     return max(1, min(most, -(-rows // per_group)))
 
 
+def drawn(rows: DataFrame, by: Column, n: int) -> DataFrame:
+    """The rows with the n least different values of `by`, one for each, as
+    column __h. Hashes alone are ordered; what else the rows hold is read in a
+    second pass over those that are in, so no task and no driver gets more than
+    n rows of it."""
+    hashed = rows.withColumn("__h", by)
+    last = hashed.select("__h").distinct().orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
+    return hashed.where(F.col("__h") <= F.lit(last)).dropDuplicates(["__h"])
+
+
 def row_salt(n: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

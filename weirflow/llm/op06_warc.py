@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table
+from .common import drawn, new_path, stored, table
 
 #: Fixed value: the skippable frame that a dictionary in front of WARC records uses.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -193,9 +193,9 @@ def write_archives(
     most sample_bytes each (documented bounds), drawn by hash."""
     spark = pages.sparkSession
     data = F.col(f"`{payload}`").cast("binary")
-    drawn = pages.where(F.octet_length(data).between(1, sample_bytes)).select(F.col(f"`{page_id}`").alias("i"), F.col(f"`{uri}`").alias("u"), data.alias("d"))
-    drawn = drawn.orderBy(F.xxhash64("d", "i"), "i").limit(sample_records).collect()
-    samples = [record("response", r.i, r.u, date, digest(bytes(r.d)), len(r.d), bytes(r.d)) for r in drawn]
+    short = pages.where(F.octet_length(data).between(1, sample_bytes)).select(F.col(f"`{page_id}`").alias("i"), F.col(f"`{uri}`").alias("u"), data.alias("d"))
+    sample = sorted(drawn(short, F.xxhash64("d", "i"), sample_records).collect(), key=lambda r: r["__h"])
+    samples = [record("response", r.i, r.u, date, digest(bytes(r.d)), len(r.d), bytes(r.d)) for r in sample]
     shared = spark.sparkContext.broadcast(train_dictionary(samples))  # 64 KB at any size
     fs, path = _file_system(folder)
     fs.create_dir(path, recursive=True)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import crc_mod, drawn, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -162,9 +162,8 @@ class Scorer:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = 400, train_windows: int = 6, seed: int = 0) -> Scorer | None:
     """A scorer from rows with text and lang, or None without any such row.
 
-    The sample holds, for each language, the train_rows rows of least hash of
-    their text, found by an aggregation that keeps that many hashes a group; of
-    a row train_windows windows spread over the text are used.
+    The sample holds, for each language, the train_rows texts of least hash;
+    of a text train_windows windows spread over it are used.
     """
     rows = labelled.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("binary").alias("text"))
     langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()]
@@ -173,12 +172,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
     found = []
     for lang_ in langs:
         n = rows.where(F.col("lang") == lang_)
-        # Texts are cut to what the sample can use before they are sorted.
+        # Only what the sample can use of a text leaves its row.
         step = F.greatest(F.lit(1), F.floor((F.octet_length("text") - WINDOW) / max(1, train_windows - 1))).cast("int")
         cut = F.when(F.octet_length("text") <= WINDOW * train_windows, F.array("text")).otherwise(
             F.transform(F.sequence(F.lit(0), F.lit(train_windows - 1)), lambda k: F.substring(F.col("text"), k * step + 1, F.lit(WINDOW)))
         )
-        found += n.select("lang", cut.alias("parts"), F.xxhash64("text").alias("h")).orderBy("h").limit(train_rows).select("lang", "parts").collect()
+        found += sorted(drawn(n.select("lang", cut.alias("parts"), "text"), F.xxhash64("text"), train_rows).select("__h", "lang", "parts").collect(), key=lambda r: r["__h"])
     place = {x: k for k, x in enumerate(langs)}
     x, y = [], []
     rng = np.random.default_rng(seed)
