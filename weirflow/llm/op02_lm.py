@@ -158,7 +158,8 @@ def batches_of(docs: DataFrame, held_out: Column, doc_id: str, text: str, batch_
         found, size, doc_type = [], 0, None
         for batch in batches:
             doc_type = batch.schema.field(0).type
-            for doc, held, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # A few rows at a time become Python objects.
+            for doc, held, x in (row for k in range(0, batch.num_rows, 128) for row in zip(*(c.to_pylist() for c in batch.slice(k, 128).columns), strict=True)):
                 words = (x or b"").lower().split()
                 found.append((doc, held, words))
                 size += len(words) + 1
@@ -259,7 +260,7 @@ def discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if ones else 0.5
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", batch_tokens: int = 1_000_000, range_words: int = 500_000, range_pairs: int = 1_000_000, shard_bytes: int = 48 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", batch_tokens: int = 400_000, range_words: int = 500_000, range_pairs: int = 1_000_000, shard_bytes: int = 48 << 20) -> DataFrame:
     """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. held_out is a condition on the columns of docs."""
     spark = docs.sparkSession
