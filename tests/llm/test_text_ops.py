@@ -164,6 +164,28 @@ def test_line_dedup(spark):
     assert {k: v for k, v in got.items() if v != want[k]} == {}
 
 
+@pytest.mark.parametrize("cell", [512, 7])
+def test_lines_of_one_band_all_meet(spark, monkeypatch, cell):
+    """Near pairs that are not alike to each other nor to the band's least and greatest key."""
+    monkeypatch.setattr(ln, "CELL", cell)
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(30):
+        text = "".join(rng.choice(list("abcdefghij "), 150)).strip()
+        texts += [text, text[:-4] + "zzzz", text + " end"][: 2 + k % 2]
+    lines = ln.lines_of(docs(spark, [(0, "\n".join(texts))]), "doc_id", "text")
+    edges = ln.similar_lines(lines, lines.select("key", F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")).alias("bands")))
+    got = {frozenset((r.a, r.b)) for r in edges.collect()}
+    name = {r.line: r.key for r in lines.select("line", "key").collect()}
+    reach = lambda k: {k} | {x for e in got if k in e for x in e}
+    at = 0
+    for k in range(30):
+        own = {name[x] for x in texts[at : at + 2 + k % 2]}
+        at += 2 + k % 2
+        seen = reach(next(iter(own)))
+        assert set().union(*map(reach, seen)) == own
+
+
 def test_line_dedup_of_repeated_rows(spark):
     out = ln.line_dedup(docs(spark, [(1, "a b\n\nc"), (1, "a b\n\nc"), (2, "c"), (None, "zz")])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r["__dropped"]) for r in out) == [(False, 1, "", 2), (False, 1, "a b\n\nc", 0), (False, 2, "", 1), (True, 0, "zz", 0)]

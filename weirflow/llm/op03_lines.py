@@ -5,8 +5,11 @@ DataFrame functions only. Lines are trimmed and lower-cased; equal lines share a
 windows of `SHINGLE` characters. The signature hashes those windows that start
 a word (as many as words, which keeps the work at one hash a word) and takes
 the least of them under 32 permutations, xor with fixed numbers; 8 bands of 4
-make 8 band keys. Lines that share a band key meet the least and the greatest
-line of that key, never each other, so a group of n lines gives 2 n candidates.
+make 8 band keys. Lines that share a band key first meet the least and the
+greatest line of that key, so a group of n lines gives 2 n candidates; those of
+a group that are then in different components meet each other too. Thus the
+components are those of all pairs that share a band, and near copies cost no
+square of their number; n lines that share a band and are not alike do.
 Candidates are verified by the exact Jaccard similarity of all their windows,
 and distributed union-find joins what passes. Of each component the line first
 in order of (doc_id, place) stays; the others leave their documents.
@@ -36,6 +39,8 @@ SHINGLE = 10
 BANDS, ROWS = 8, 4
 #: Size of a bitmap: 2 ** 22 bits, broadcast as 65 536 longs.
 BITS = 1 << 22
+#: Lines to a side of a cell, where lines of one band meet.
+CELL = 512
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -115,23 +120,49 @@ def places_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
 
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of keys those whose windows' Jaccard similarity is at least `similarity`."""
+    # Texts travel, not their windows, which are eight times as large; a pair's sets exist in its own row only.
+    sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
+    sets = sides.select("a", "b", distinct_windows(F.col("la")).alias("sa"), distinct_windows(F.col("lb")).alias("sb"))
+    # An exploded value is computed once; a plain column would be computed again for each use in the filter.
+    sized = sets.select("a", "b", F.explode(F.array(jaccard(F.col("sa"), F.col("sb")))).alias("similarity"))
+    return sized.where(F.col("similarity") >= similarity).select("a", "b")
+
+
+def open_pairs(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each band that could still join two components.
+    A band's lo and hi have met all its members, and members of its most
+    frequent component need not meet each other. Large bands are dealt into
+    cells of about CELL times CELL lines."""
+    left = members.where("n > 3 AND key <> lo AND key <> hi").select("key", "band")
+    named = left.join(linked.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("component", "key").alias("c"))
+    named = stored(named, "open")
+    sizes = named.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("most"))
+    sizes = sizes.where("n > most.k").select("band", F.col("most.c").alias("most"), F.ceil((F.col("n") - F.col("most.k")) / CELL).cast("int").alias("rows"), F.ceil(F.col("n") / CELL).cast("int").alias("cols"))
+    sized = marked(named, "band", bitmap(sizes, "band")).where("__hit").drop("__hit").join(sizes, "band")
+    part = lambda of: F.pmod(F.xxhash64("key", "band"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    few = sized.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"))
+    all_ = sized.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most")
+    met = few.join(all_, ["band", "i", "j"]).where("ca <> cb AND (cb = most OR a < b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_lines(lines: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(a, b): keys of different lines whose windows' Jaccard similarity is at
-    least `similarity`, each line against the least and greatest of its bands."""
+    least `similarity`; their components are those of all pairs that share a band."""
     banded = found.select("key", F.explode("bands").alias("band"))
-    groups = stored(banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "bands")
-    members = marked(banded, "band", bitmap(groups, "band")).where("__hit").drop("__hit").join(groups, "band")
+    groups = stored(banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "bands")
+    members = stored(marked(banded, "band", bitmap(groups, "band")).where("__hit").drop("__hit").join(groups, "band"), "members")
     pairs = members.select("key", F.explode(F.array("lo", "hi")).alias("other")).where("key <> other")
     pairs = stored(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = marked(lines.select("key", "line"), "key", bitmap(ends, "key")).where("__hit").groupBy("key").agg(F.min("line").alias("line"))
     texts = stored(texts, "texts")
-    # Texts travel, not their windows, which are eight times as large; a pair's sets exist in its own row only.
-    sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
-    sets = sides.select("a", "b", distinct_windows(F.col("la")).alias("sa"), distinct_windows(F.col("lb")).alias("sb"))
-    # An exploded value is computed once; a plain column would be computed again for each use in the filter.
-    sized = sets.select("a", "b", F.explode(F.array(jaccard(F.col("sa"), F.col("sb")))).alias("similarity"))
-    return sized.where(F.col("similarity") >= similarity).select("a", "b")
+    star = stored(alike(pairs, texts, similarity), "star")
+    rest = stored(open_pairs(members, connected_components(star)), "open-pairs")
+    return star.unionByName(alike(rest, texts, similarity))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
