@@ -164,6 +164,31 @@ def test_line_dedup(spark):
     assert {k: v for k, v in got.items() if v != want[k]} == {}
 
 
+def test_lines_with_changed_ends(spark):
+    """Short lines, lines without blanks and lines of symbols: alike by their windows, not by what starts a word."""
+    rng = np.random.default_rng(9)
+    short = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3)) for _ in range(40)]
+    chinese = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 80))) for _ in range(10)]
+    marks = ["".join(rng.choice(list("+-*/<>=!?&%$"), 90)) for _ in range(10)]
+    base = short + chinese + marks
+    rows = [(0, "\n".join(base)), (1, "\n".join(x + "." for x in base)), (2, "\n".join(f"{x[:1].upper()}{x[1:]}\U0001f600" for x in base))]
+    assert plain_lines(rows) == {0: rows[0][1], 1: "", 2: ""}
+    dropped = {r.doc_id: r["__dropped"] for r in ln.line_dedup(docs(spark, rows)).collect()}
+    assert sum(dropped.values()) >= 0.98 * 2 * len(base)  # candidates are found by chance, of one pair of 11 and 12 windows in 700 not
+
+
+def test_lines_with_blanks_around(spark):
+    rows = [(0, "Terms\nof use"), (1, "\tterms\r\nof use \t\r\n\r\n"), (2, "\x0bof use\x0c")]
+    got = {r.doc_id: (r.text, r["__lines"], r["__dropped"]) for r in ln.line_dedup(docs(spark, rows)).collect()}
+    assert got == {0: ("Terms\nof use", 2, 0), 1: ("\r\n", 2, 2), 2: ("", 1, 1)}
+
+
+def test_pieces_have_all_windows(spark):
+    texts = ["", "a", "a" * 10, "abcdefghijk", *("".join(map(chr, np.random.default_rng(n).integers(0x1F5F0, 0x1F650, n))) for n in (63, 64, 72, 73, 74, 82, 83, 84, 137, 138, 500))]
+    for r in docs(spark, list(enumerate(texts))).select("text", ln.pieces(F.col("text")).alias("p")).collect():
+        assert [x[k : k + 10] for x in r.p for k in range(max(1, len(x) - 9))] == [r.text[k : k + 10] for k in range(max(1, len(r.text) - 9))]
+
+
 @pytest.mark.parametrize("cell", [512, 7])
 def test_lines_of_one_band_all_meet(spark, monkeypatch, cell):
     """Near pairs that are not alike to each other nor to the band's least and greatest key."""

@@ -2,10 +2,9 @@
 
 DataFrame functions only. Lines are trimmed and lower-cased; equal lines share a
 64-bit key and are one line from there on. A line's character shingles are its
-windows of `SHINGLE` characters. The signature hashes those windows that start
-a word (as many as words, which keeps the work at one hash a word) and takes
-the least of them under 32 permutations, xor with fixed numbers; 8 bands of 4
-make 8 band keys. Lines that share a band key first meet the least and the
+windows of `SHINGLE` characters. The signature hashes all of them and takes the
+least under 32 permutations, xor with fixed numbers; 8 bands of 4 make 8 band
+keys. Lines that share a band key first meet the least and the
 greatest line of that key, so a group of n lines gives 2 n candidates; those of
 a group that are then in different components meet each other too. Thus the
 components are those of all pairs that share a band, and near copies cost no
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, table
+from .common import SPACES, stored, table
 from .components import connected_components
 
 SHINGLE = 10
@@ -56,7 +55,7 @@ def _permutations(n: int) -> list[int]:
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(SPACES)))
 
 
 def windows(line: Column, size: int = SHINGLE) -> Column:
@@ -69,10 +68,10 @@ def distinct_windows(line: Column) -> Column:
     return F.array_distinct(F.transform(windows(line), lambda x: F.xxhash64(x)))
 
 
-def word_windows(line: Column, size: int = SHINGLE) -> Column:
-    """The windows that start a word, the last ones shorter; the line itself if it has no word."""
-    found = F.regexp_extract_all(line, F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{0,{size - 1}}}))"), F.lit(1))
-    return F.concat(found, F.when(line.rlike(r"[\p{L}\p{N}]"), F.array().cast("array<string>")).otherwise(F.array(line)))
+def pieces(line: Column, size: int = SHINGLE, starts: int = 64) -> Column:
+    """Overlapping parts of a line that have each of its windows once; the line itself if it is no longer than a window."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size},{starts + size - 1}}})).{{1,{starts}}}"), F.lit(1))
+    return F.when(F.length(line) <= size, F.array(line)).otherwise(found)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -104,7 +103,10 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """A row for each different line: key and bands (array of keys)."""
-    hashed = lines.select("key", F.explode(word_windows(F.col("line"))).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+    parts = lines.select("key", F.explode(pieces(F.col("line"))).alias("piece"))
+    # Windows are cut from pieces: from a whole line each would count its characters from the start.
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("piece") - (SHINGLE - 1)))
+    hashed = parts.select("key", "piece", F.explode(starts).alias("at")).select("key", F.xxhash64(F.substr("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
     numbers = _permutations(BANDS * ROWS)
     # 24 bits are enough for one of four minima: the rows that are shuffled compress to half their size.
     least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(x)), 40).cast("int")).alias(f"m{k}") for k, x in enumerate(numbers)]
