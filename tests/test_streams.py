@@ -85,6 +85,16 @@ def test_linear_scan(spark):
     assert collected(K.linear_scan(counting(spark, 50), "v", 0.5, block=7)) == pytest.approx(want)
 
 
+def test_accumulate_motion_has_all_events(spark, tmp_path):
+    spark.range(3700).selectExpr("id AS event_id", "CAST(id * 37 % 101 - 50 AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    want, acc = [], 0.0
+    for k in range(3700):
+        acc = 0.98 * acc + (k * 37 % 101 - 50)
+        want.append(acc)
+    got = catalog.queries()["accumulate_motion"](spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(3700)) and [r.acc for r in got] == pytest.approx(want, abs=1e-4)
+
+
 def nested(levels_delay=None):
     """source:6 -> s:3 (twice); in s: in:3 -> w:1 (three times) -> out:3, last 2 leave."""
     g = Graph("top")
