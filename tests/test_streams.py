@@ -95,6 +95,20 @@ def test_accumulate_motion_has_all_events(spark, tmp_path):
     assert [r.pos for r in got] == list(range(3700)) and [r.acc for r in got] == pytest.approx(want, abs=1e-4)
 
 
+def test_block_motion_has_all_whole_frames(spark, tmp_path):
+    spark.range(7 * 240 + 100).selectExpr("id AS event_id", "CAST(id * id % 97 AS DOUBLE) + 0.5 AS value").write.parquet(str(tmp_path / "events.parquet"))
+    v = lambda f, y, x: (f * 240 + y * 20 + x) ** 2 % 97
+    want = {}
+    for f, block in ((f, b) for f in range(1, 7) for b in range(15)):
+        own, found = [(block // 5 * 4 + k // 4, block % 5 * 4 + k % 4) for k in range(16)], []
+        for dy, dx in ((dy, dx) for dy in range(-1, 2) for dx in range(-2, 3)):
+            both = [(v(f, y, x) - v(f - 1, y + dy, x + dx)) ** 2 for y, x in own if 0 <= y + dy < 12 and 0 <= x + dx < 20]
+            found += [(sum(both) // len(both), dy, dx)] if 2 * len(both) >= 16 else []
+        want[f, block] = min(found)
+    got = {(r.frame, r.block): (r.cost, r.dy, r.dx) for r in catalog.queries()["block_motion"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def nested(levels_delay=None):
     """source:6 -> s:3 (twice); in s: in:3 -> w:1 (three times) -> out:3, last 2 leave."""
     g = Graph("top")

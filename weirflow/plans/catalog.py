@@ -348,7 +348,11 @@ def pendulum_episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH p AS (SELECT event_id // 240 AS frame, event_id % 240 // 20 AS y, event_id % 20 AS x, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id < 960), b AS (SELECT *, y // 4 * 5 + x // 4 AS block FROM p), s AS (SELECT a.range AS dx, c.range AS dy FROM range(-2, 3) a, range(-1, 2) c), c AS (SELECT b.frame, b.block, dx, dy, CAST(sum((b.v - q.v) * (b.v - q.v)) AS BIGINT) // count(*) AS cost, count(*) AS k FROM b, s, p q WHERE q.frame + 1 = b.frame AND q.x = b.x + dx AND q.y = b.y + dy GROUP BY ALL) SELECT frame, block, dx, dy, cost FROM c WHERE 2 * k >= 16 QUALIFY row_number() OVER (PARTITION BY frame, block ORDER BY cost, dy, dx) = 1")
 def block_motion(spark: SparkSession, sf: str) -> DataFrame:
-    pixels = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 960").selectExpr("event_id div 240 AS frame", "event_id % 240 div 20 AS y", "event_id % 20 AS x", "CAST(floor(value) AS BIGINT) AS v")
+    """Vectors of all whole frames of 240 events. The SQL side stops after four
+    frames, so the two agree on tables of under 1200 events."""
+    read = spark.read.parquet(f"{sf}/events.parquet")
+    whole = read.count() // 240 * 240
+    pixels = read.where(F.col("event_id") < whole).selectExpr("event_id div 240 AS frame", "event_id % 240 div 20 AS y", "event_id % 20 AS x", "CAST(floor(value) AS BIGINT) AS v")
     found = motion.motion_vectors(motion.blocks(pixels, 4, 4, 20, 12), pixels, 2, 1)
     return found.select("frame", "block", F.col("dx").cast("bigint").alias("dx"), F.col("dy").cast("bigint").alias("dy"), "cost")
 
