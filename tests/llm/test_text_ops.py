@@ -183,6 +183,14 @@ def test_lines_with_blanks_around(spark):
     assert got == {0: ("Terms\nof use", 2, 0), 1: ("\r\n", 2, 2), 2: ("", 1, 1)}
 
 
+@pytest.mark.parametrize(("size", "dropped"), [(98, 0), (99, 1)])
+def test_one_character_inside_a_line(spark, size, dropped):
+    """The bound that the docstring states; all lines are made candidates."""
+    text = "".join(chr(0x4E00 + k) for k in range(size))
+    lines = ln.lines_of(docs(spark, [(0, text + "\n" + text[:40] + "x" + text[41:])]), "doc_id", "text")
+    assert ln.similar_lines(lines, lines.select("key", F.array(F.lit(1).cast("bigint")).alias("bands"))).count() == dropped
+
+
 def test_pieces_have_all_windows(spark):
     texts = ["", "a", "a" * 10, "abcdefghijk", *("".join(map(chr, np.random.default_rng(n).integers(0x1F5F0, 0x1F650, n))) for n in (63, 64, 72, 73, 74, 82, 83, 84, 137, 138, 500))]
     for r in docs(spark, list(enumerate(texts))).select("text", ln.pieces(F.col("text")).alias("p")).collect():

@@ -19,6 +19,11 @@ one row per task. Texts are shuffled for verification and for rewriting only
 where they are needed: bitmaps of fixed size (`BITS`, broadcast) tell most other
 rows apart, and a full bitmap lets more rows through but changes no result.
 
+What 0.8 means: one character changed inside a line of L characters takes 10
+windows from each side, and (L - 19) / (L + 1) is at least 0.8 from L = 99 on.
+A shorter line with such a change (a year, a digit) is another line here; only
+a change within its last or first characters can leave it a duplicate.
+
 Defined results: lines without a word are kept as they are and never compared;
 a null text stays null; of rows that are equal in id and text the first keeps
 its lines and the others lose all; null ids come first in order; an empty table
