@@ -122,6 +122,18 @@ def test_warc_round_trip(spark):
     assert warc.read_records(none).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """40 rows of the query's own id take no place of its 10 neighbours."""
+    rng = np.random.default_rng(6)
+    x = 1 + 0.1 * rng.normal(size=(60, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[0].tolist())] * 39
+    out = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=10).collect()
+    got = [r.vec_id for r in sorted(out, key=lambda r: r["rank"])]
+    s = x @ x[0]
+    assert len(got) == 10 and len(set(got) & set(np.argsort(-s[1:])[:10] + 1)) >= 9
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(12, 16))

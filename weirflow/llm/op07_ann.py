@@ -195,9 +195,11 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, vec_id: str = "
             turned = rotated(x, shared.value["longest"], shared.value["rotation"])
             blocks = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, turned.shape[1], BLOCK)]
             own, step = ids[asks], max(1, (1 << 20) // len(x))  # a million pairs at once
+            held_ids, times = np.unique(x_ids, return_counts=True)  # rows with the query's own id come in excess of k
             for at in range(0, len(own), step):
                 q, q_ids = v[asks][at : at + step], own[at : at + step]
-                of, row = scan(rotated(q, shared.value["longest"], shared.value["rotation"], True), blocks, k + 1)
+                same = times[np.minimum(np.searchsorted(held_ids, q_ids), len(held_ids) - 1)] * np.isin(q_ids, held_ids)
+                of, row = scan(rotated(q, shared.value["longest"], shared.value["rotation"], True), blocks, k + int(same.max()))
                 other = x_ids[row] != q_ids[of]
                 of, row = of[other], row[other]
                 score = (x[row] * q[of]).sum(1)  # row by row, so equal vectors score alike
