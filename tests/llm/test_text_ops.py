@@ -5,11 +5,13 @@ import itertools
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weirflow.llm import op01_packing as pack
@@ -300,6 +302,17 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """More than 256 of them; drawing and fitting are left out."""
+    row = Row(**{"__h": 0, "lang": "l0", "parts": [b"some text"]})
+    sample = SimpleNamespace(select=lambda *_: SimpleNamespace(collect=lambda: [row]))
+    net = lambda labels, seed: SimpleNamespace(fit=lambda *_, **__: SimpleNamespace(tables=lambda: labels))
+    monkeypatch.setattr(lang, "drawn", lambda *_: sample)
+    monkeypatch.setattr(lang, "Network", net)
+    df = spark.range(300).selectExpr("concat('l', id) AS lang", "'some text' AS text")
+    assert sorted(lang.train(df)) == sorted(f"l{k}" for k in range(300))
+
+
 def test_byte_tables_equal_the_network():
     net = lang.Network(["a", "b", "c"], 3)
     x = np.random.default_rng(0).integers(0, 256, (5, lang.WINDOW)).astype(np.uint8)

@@ -166,7 +166,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
     of a text train_windows windows spread over it are used.
     """
     rows = labelled.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("binary").alias("text"))
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()]
+    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]  # one row a language
     if not langs:
         return None
     found = []
