@@ -8,6 +8,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,21 +38,40 @@ def clash(df):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return pack.ChunkTokenizer(pack.tokenizer_file())
+    return pack.whole_texts(pack.tokenizer_file())[0]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab Zé日\n\t .,'s1 2    \x1c\x85")), max_size=40) | st.text(max_size=30))
-def test_chunks_encode_like_whole_texts(text):
-    t = pack.ChunkTokenizer(pack.tokenizer_file())
-    whole = t.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(t([text])[0], "<u4").tolist() == whole
+TEXTS = st.text(alphabet=st.sampled_from(list("ab Zé日\n\t .,'s1 2    \x1c\x85\u2028\u3000\u00a0\u1680llre\r_²½")), max_size=40) | st.text(max_size=30)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXTS | st.none(), max_size=6), st.sampled_from([1, 7, 8 << 20]))
+def test_blocks_encode_like_whole_texts(tokenizer, texts, block):
+    t = pack.BlockTokenizer(pack.tokenizer_file(), block)
+    assert t.sizes is not None, "the fast way is what is tested"
+    array = pa.array(["x", *texts], pa.string()).slice(1)
+    assert [x.tolist() for x in t(array)] == [tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_encode_whole_texts(tokenizer):
+    path = pack.tokenizer_file("word_bpe_49k.json")
+    t = pack.BlockTokenizer(path)
+    assert t.sizes is None
+    assert [x.tolist() for x in t(pa.array(["A b", None]))] == [pack.whole_texts(path)[0].encode("A b", add_special_tokens=False).ids, []]
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    found = pack.pieces(docs(spark, [(1, "the same text")] * 3000), pack.tokenizer_file())
+    dealt = found.groupBy(pack.row_salt(6, *map(F.col, ("doc_id", "start", "ids_crc32", "__row")))).count().collect()
+    assert len(dealt) == 6 and max(r["count"] for r in dealt) < 700
+    packed = pack.pack_documents(docs(spark, [(1, "the same text")] * 3000), pack.tokenizer_file())
+    assert packed.count() == 3000 and packed.select("sequence_id", "offset").distinct().count() == 3000
 
 
 def test_packing(spark, sf, tokenizer):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ODD
     out = pack.pack_documents(clash(docs(spark, rows)), pack.tokenizer_file(), with_ids=True).collect()
-    want = collections.Counter((i, (np.frombuffer(tokenizer([t or ""])[0], "<u4").tolist() + [0]).__repr__()) for i, t in rows)
+    want = collections.Counter((i, (tokenizer.encode(t or "", add_special_tokens=False).ids + [0]).__repr__()) for i, t in rows)
     by_doc = collections.defaultdict(list)
     for r in out:
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
@@ -303,14 +323,13 @@ def test_language(spark, sf):
 
 
 def test_rare_languages_are_learned(spark, monkeypatch):
-    """More than 256 of them; drawing and fitting are left out."""
-    row = Row(**{"__h": 0, "lang": "l0", "parts": [b"some text"]})
-    sample = SimpleNamespace(select=lambda *_: SimpleNamespace(collect=lambda: [row]))
-    net = lambda labels, seed: SimpleNamespace(fit=lambda *_, **__: SimpleNamespace(tables=lambda: labels))
-    monkeypatch.setattr(lang, "drawn", lambda *_: sample)
+    """More than 256 of them, each with its least hashes; fitting is left out."""
+    seen = {}
+    net = lambda labels, seed: SimpleNamespace(fit=lambda x, y, **_: seen.update(x=x, y=y) or SimpleNamespace(tables=lambda: labels))
     monkeypatch.setattr(lang, "Network", net)
-    df = spark.range(300).selectExpr("concat('l', id) AS lang", "'some text' AS text")
-    assert sorted(lang.train(df)) == sorted(f"l{k}" for k in range(300))
+    df = spark.range(1500).selectExpr("concat('l', id % 300) AS lang", "concat('some text ', id div 600) AS text")
+    assert sorted(lang.train(df, train_rows=2)) == sorted(f"l{k}" for k in range(300))
+    assert sorted(np.bincount(seen["y"])) == [2] * 300, "copies count once"
 
 
 def test_byte_tables_equal_the_network():
