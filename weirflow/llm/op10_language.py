@@ -19,19 +19,23 @@ an empty result.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from .common import crc_mod, drawn, table
+from .common import crc_mod, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
 UND = "und"
+ASCII_LETTER = re.compile(rb"[A-Za-z]").search
 
 
 def windows_of(text: bytes, size: int = WINDOW) -> np.ndarray:
@@ -163,22 +167,28 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
     """A scorer from rows with text and lang, or None without any such row.
 
     The sample holds, for each language, the train_rows texts of least hash;
-    of a text train_windows windows spread over it are used.
+    of a text train_windows windows spread over it are used. Two passes over the
+    rows, however many languages there are.
     """
     rows = labelled.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("binary").alias("text"))
-    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]  # one row a language
+    rows = rows.withColumn("__h", F.xxhash64("text"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("__h").alias("d")).collect()  # one row a language
+    langs = [r.lang for r in sorted(counted, key=lambda r: (-r.n, r.lang))]
     if not langs:
         return None
-    found = []
-    for lang_ in langs:
-        n = rows.where(F.col("lang") == lang_)
-        # Only what the sample can use of a text leaves its row.
-        step = F.greatest(F.lit(1), F.floor((F.octet_length("text") - WINDOW) / max(1, train_windows - 1))).cast("int")
-        cut = F.when(F.octet_length("text") <= WINDOW * train_windows, F.array("text")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.lit(train_windows - 1)), lambda k: F.substring(F.col("text"), k * step + 1, F.lit(WINDOW)))
-        )
-        found += sorted(drawn(n.select("lang", cut.alias("parts"), "text"), F.xxhash64("text"), train_rows).select("__h", "lang", "parts").collect(), key=lambda r: r["__h"])
+    # Hashes under a language's limit hold about four times the rows wanted, copies counted once.
+    limits = [(r.lang, (1 << 63) - 1 if r.d <= 4 * train_rows else int(4 * train_rows / r.d * 2.0**64) - (1 << 63)) for r in counted]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, limit bigint"))  # as many rows as the network has outputs
+    # Only what the sample can use of a text leaves its row.
+    step = F.greatest(F.lit(1), F.floor((F.octet_length("text") - WINDOW) / max(1, train_windows - 1))).cast("int")
+    cut = F.when(F.octet_length("text") <= WINDOW * train_windows, F.array("text")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(train_windows - 1)), lambda k: F.substring(F.col("text"), k * step + 1, F.lit(WINDOW)))
+    )
+    near = rows.join(limits, "lang").where(F.col("__h") <= F.col("limit")).select("lang", "__h", cut.alias("parts"))
+    near = near.groupBy("lang", "__h").agg(F.min("parts").alias("parts"))
+    first = near.withColumn("__n", F.row_number().over(W.partitionBy("lang").orderBy("__h"))).where(F.col("__n") <= train_rows)
     place = {x: k for k, x in enumerate(langs)}
+    found = sorted(first.select("__h", "lang", "parts").collect(), key=lambda r: (place[r.lang], r["__h"]))
     x, y = [], []
     rng = np.random.default_rng(seed)
     for r in found:
@@ -196,36 +206,41 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
 
 
 def identify(docs: DataFrame, scorer: Scorer | None, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score (the probability of lang_pred)."""
+    """The kept columns, lang_pred and score (the probability of lang_pred).
+    Texts alone go to the Python workers, once; all else stays in the JVM."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(scorer and vars(scorer))  # four tables of 65536 rows: 13 MB at any size
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    scored = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
 
-    def run(batches):
+    @F.arrow_udf("lang_pred string, score double")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = None
         if shared.value:
             net = Scorer.__new__(Scorer)
             vars(net).update(shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            labels, scores = [UND] * len(texts), np.zeros(len(texts))
-            at = [k for k, x in enumerate(texts) if x and any(map(str.isalpha, x))]
-            if net is not None:
-                # Few texts at once: memory follows the longest text, not the batch.
-                group, size = [], 0
-                for k in [*at, None]:
-                    if k is None or size > 1 << 20:
-                        p = net.score([texts[j].encode() for j in group])
-                        for j, row in zip(group, p, strict=True):
-                            labels[j], scores[j] = net.labels[int(row.argmax())], float(row.max())
-                        group, size = [], 0
-                    if k is not None:
-                        group.append(k)
-                        size += len(texts[k])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels), pa.array(scores)], names=schema.names)
-
-    return scored.mapInArrow(run, schema)
+            labels, scores = [UND] * len(batch), np.zeros(len(batch))
+            group, size = [], 0
+
+            def settle():
+                for j, row in zip((k for k, _ in group), net.score([x for _, x in group]), strict=True):
+                    labels[j], scores[j] = net.labels[int(row.argmax())], float(row.max())
+                group.clear()
+
+            # Few texts at once: memory follows the longest text, not the batch.
+            for k, value in enumerate(batch if net is not None else ()):
+                raw = value.as_py()
+                if raw and (ASCII_LETTER(raw) or any(map(str.isalpha, raw.decode(errors="replace")))):
+                    group.append((k, raw))
+                    size += len(raw)
+                    if size > 1 << 20:
+                        settle()
+                        size = 0
+            if group:
+                settle()
+            yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    scored = docs.select(*[F.col(f"`{c}`") for c in keep], found(F.col(f"`{text}`").cast("binary")).alias("__found"))
+    return scored.select(*[F.col(f"`{c}`") for c in keep], "__found.lang_pred", "__found.score")
 
 
 def held_out(doc_id: Column) -> Column:
