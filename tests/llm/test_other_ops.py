@@ -161,6 +161,56 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def neighbours(out):
+    got = collections.defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    return got
+
+
+def plain_neighbours(x, queries, k):
+    s = x @ x[queries].T
+    s[queries, np.arange(len(queries))] = -np.inf
+    return {q: np.lexsort((np.arange(len(x)), -s[:, j]))[:k].tolist() for j, q in enumerate(queries)}
+
+
+def test_neighbours_of_any_length(spark):
+    """Vectors from 1e-200 to 1e200 drown no others, and ask like others."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8)) * np.exp(rng.normal(0, 0.5, 600))[:, None]
+    x[5], x[25], x[20], x[40] = x[5] * 1e150, x[25] * 1e100, x[20] * 1e-200, x[40] * 1e140
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got, want = neighbours(ann.search(df, F.col("vec_id") % 20 == 0, k=10)), plain_neighbours(x, list(range(0, 600, 20)), 10)
+    assert all(len(v) == 10 for v in got.values()) and got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(want[q])) for q in want]) > 9
+    assert all(got[q][0] == want[q][0] for q in want)
+    huge = spark.createDataFrame([(k, [1e200 if k == 3 else float(v) for v in row]) for k, row in enumerate(rng.normal(size=(400, 4)))], "vec_id bigint, embedding array<double>")
+    out = ann.search(huge, F.col("vec_id") % 20 == 0, k=5)
+    assert out.count() == 100
+
+
+def test_equal_neighbours_of_many_chunks(spark):
+    """Ties go to the smaller id, also where equal vectors lie in different chunks; one row a third of the table."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[100:250] = x[100]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [rows[7]] * 150, "vec_id bigint, embedding array<double>")
+    got = neighbours(ann.search(df, F.col("vec_id") == 100, k=12, chunk_rows=16, query_rows=1))
+    assert got[100][:12] == list(range(101, 113))
+    got = neighbours(ann.search(df, F.col("vec_id").isin(7, 20), k=6, chunk_rows=16))
+    assert len(got[7]) == 6 and 7 not in got[7]
+
+
+def test_recall_against_all_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.zeros((df.count(), 64))
+    for r in df.collect():
+        x[r.vec_id] = r.embedding
+    got, want = neighbours(ann.op7_ann(spark, "/root/testdata/sf0.1")), plain_neighbours(x, list(range(0, len(x), 20)), 20)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.93
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
