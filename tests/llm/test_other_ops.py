@@ -118,6 +118,10 @@ def test_warc_round_trip(spark):
     assert length == one.length and warc.parse(raw)[1].decode() == "naïve\r\n\r\nWARC/1.1"
     first = open(one.archive.removeprefix("file://"), "rb").read(4)
     assert first == b"\x5d\x2a\x4d\x18"
+    ids = [f["warc-record-id"] for a in index.select("archive").distinct().collect() for f, _ in warc.read_archive(a.archive)]
+    assert len(set(ids)) == len(rows), "repeated rows are records of their own"
+    read = warc.read_records(index)
+    assert read.rdd.getNumPartitions() == index.select("archive").distinct().count()
     none = warc.write_archives(pages.where("false"), new_path(spark, "t"))
     assert warc.read_records(none).count() == 0
 

@@ -3,9 +3,9 @@
 A Zstandard dictionary is built from a bounded sample of the records. Every
 archive starts with a skippable frame (magic 0x184D2A5D) that holds the
 dictionary, so an archive needs nothing beside it, and every record is a frame
-of its own, so one record can be read by its offset. Records with equal
-payloads are written once, as a response; the others become revisits that
-refer to it.
+of its own, so one record can be read by its offset. Of records with equal
+payloads the one with the largest page_id is a response; the others become
+revisits that refer to it. Every record has an id of its own.
 
 Archives are written by the executors straight to the folder given (any file
 system that pyarrow knows by URI), in parts of about `archive_bytes`. A file is
@@ -45,12 +45,12 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id, uri: str | None, date: str, payload_digest: str, size: int, payload: bytes, refers_to=None) -> bytes:
-    """One WARC record; payload is empty for a revisit."""
+def record(kind: str, page_id, uri: str | None, date: str, payload_digest: str, size: int, payload: bytes, refers_to=None, place: str = "") -> bytes:
+    """One WARC record; payload is empty for a revisit. `place` tells apart records of one page and address."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri} {place}')}>",
         f"WARC-Date: {date}",
         # A line break in an address would end the field.
         f"WARC-Target-URI: {' '.join((uri or '').split())}",
@@ -186,7 +186,7 @@ def deduplicated(pages: DataFrame, payload: str = "html", page_id: str = "page_i
 
 def write_archives(
     pages: DataFrame, folder: str, payload: str = "html", page_id: str = "page_id", uri: str = "url", date: str = "1970-01-01T00:00:00Z",
-    least_bytes: int = 0, sample_records: int = 400, sample_bytes: int = 1 << 16, archive_bytes: int = 1 << 30, level: int = 6,
+    least_bytes: int = 0, sample_records: int = 400, sample_bytes: int = 1 << 16, archive_bytes: int = 1 << 28, level: int = 6,
 ) -> DataFrame:
     """Write all rows as records and return the stored index: page_id, archive,
     offset, length. The dictionary learns from sample_records payloads of at
@@ -206,6 +206,7 @@ def write_archives(
 
         context = TaskContext.get()
         writer = ArchiveWriter(folder, f"part-{context.partitionId():06d}-{context.taskAttemptId()}", shared.value, archive_bytes, level)
+        nth = 0
         for batch in batches:
             found = []
             for page, address, body, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -213,7 +214,8 @@ def write_archives(
                 revisit = of is not None and page is not None and of != page
                 # A row without an id refers to the response of its payload like any other.
                 revisit = revisit or (of is not None and page is None)
-                raw = record("revisit" if revisit else "response", page, address, date, digest(body), len(body), b"" if revisit else body, of)
+                raw = record("revisit" if revisit else "response", page, address, date, digest(body), len(body), b"" if revisit else body, of, f"{context.partitionId()}/{nth}")
+                nth += 1
                 found.append((page, *writer.add(raw)))
             ids = pa.array([x[0] for x in found], batch.schema.field(0).type)
             yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64())], names=["page_id", "archive", "offset", "length"])
@@ -227,8 +229,10 @@ def read_records(index: DataFrame, kind: str = "bigint") -> DataFrame:
     """One row a record, read back from the archives that the index names:
     page_id, uri, record_type, refers_to, payload_bytes, payload_digest and
     whether the digest of a response is that of its content. Each archive is
-    read whole by one task, record after record."""
+    read whole by one task, record after record, and there are as many tasks as
+    archives (a number that is given is not made smaller for few bytes)."""
     archives = index.groupBy("archive").agg(F.count("*").alias("records"))
+    tasks = max(1, index.select("archive").distinct().count())
 
     def read(batches):
         for batch in batches:
@@ -253,7 +257,7 @@ def read_records(index: DataFrame, kind: str = "bigint") -> DataFrame:
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 4 else pa.string()) for k, c in enumerate(columns)], names=["page_id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
-    found = archives.repartition("archive").mapInArrow(read, "page_id string, uri string, record_type string, refers_to string, payload_bytes bigint, payload_digest string")
+    found = archives.repartition(tasks).mapInArrow(read, "page_id string, uri string, record_type string, refers_to string, payload_bytes bigint, payload_digest string")
     return found.withColumns({x: F.col(x).cast(kind) for x in ("page_id", "refers_to")})
 
 
