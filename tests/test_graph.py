@@ -246,12 +246,40 @@ def test_schedule(spark):
             assert len(ends) == 4
             for t in ends.values():
                 assert all(ends[e.source].end <= t.start for e in t.node.ins if e is not None)
+            alone(tasks)
     only = schedule(unroll(g), platform, Constraints({x: {"p1"} for x in ("a", "b", "fork-a_0")}))
     rows = statistics(as_table(spark, only)).collect()
     assert len(rows) == 1 and rows[0].jobs == 4 and rows[0].idle == 0 and rows[0].utilization == 1.0
     assert "<event" in gantt_xml(only) and gantt_svg(only).count("<rect") == 4 and "p1" in statistics_text(rows)
 
 
+def alone(tasks):
+    """No processor does two things at once."""
+    for p in {t.processor.name for t in tasks}:
+        own = sorted((t.start, t.end) for t in tasks if t.processor.name == p)
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_transfers_take_time_on_both_sides():
+    g = Graph("g")
+    a, f = g.actor("a", 0, 1, timing=50), g.actor("b", 1, 0, timing=10)
+    g.edge(a, 0, 3, f, 0, 3)
+    platform = Platform([Processor("p0", 0), Processor("p1", 1)], send=lambda n: 5 * n, receive=lambda n: 7 * n)
+    tasks = schedule(unroll(g), platform, Constraints({"a": {"p0"}, "b": {"p1"}}))
+    assert [(t.what, t.processor.name, t.start, t.end) for t in tasks] == [("run", "p0", 0, 50), ("send", "p0", 50, 65), ("receive", "p1", 65, 86), ("run", "p1", 86, 96)]
+    # Not told where, b stays where its tokens are: 60 on p0 against 50 + 10 + 15 + 21.
+    assert {t.processor.name for t in schedule(unroll(g), platform, Constraints({"a": {"p0"}}))} == {"p0"}
+
+
+def test_round_robin_turns_in_each_cluster():
+    g = Graph("g")
+    for k in range(4):
+        g.edge(g.actor(f"a{k}", 0, 1), 0, 1, g.actor(f"b{k}", 1, 0), 0, 1)
+    tasks = schedule(unroll(g), Platform([Processor("p0", 0), Processor("p1", 0)]), None, "list", "round-robin")
+    assert sorted(t.processor.name for t in tasks) == ["p0"] * 4 + ["p1"] * 4
+    alone(tasks)
+
+
 def test_optimize_keeps_what_runs():
     u = optimize(unroll(pair(2, 1)))
     assert {n.name for n in u.nodes if n.vertex} == {"x", "y_0", "y_1"}

@@ -1,14 +1,18 @@
+import collections
+import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weirflow.functions import neural
 from weirflow.operators import kernels as K
 from weirflow.operators import movement as M
-from weirflow.operators.tokens import counting, from_table
+from weirflow.operators.tokens import TokenStream, _range_of, counting, from_table
 from weirflow.plans import catalog
 from weirflow.plans.graph import Graph, GraphError
 from weirflow.plans.lower import complete_iterations, lower
@@ -200,6 +204,69 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert left + spark.read.parquet(str(tmp_path / "state" / "rest" / str(rest))).agg(F.sum("v")).first()[0] == 9900
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+
+
+def test_movement_that_cancels_out_is_not_planned(spark, sf):
+    assert scans(catalog.queries()["join_then_fork"](spark, sf)) == 1
+    assert scans(catalog.queries()["rewrite_join_fork"](spark, sf)) == 2
+
+
+@few
+@given(st.lists(st.integers(1, 5), min_size=1, max_size=4), st.data())
+def test_blocks_are_what_their_pieces_say(spark, rates, data):
+    """Forks, joins and cuts of two streams against lists, read in one step."""
+    streams = [(counting(spark, 60), list(range(60))), (counting(spark, 60).at("pos"), list(range(60)))]
+    total = sum(rates)
+    n = 60 // total
+    sides = [(M.Blocks.of(s, total), [x[k * total : (k + 1) * total] for k in range(n)]) for s, x in streams]
+    parts = [(b.cut(o, r), [x[o : o + r] for x in f]) for b, f in sides for o, r in zip([sum(rates[:k]) for k in range(len(rates))], rates, strict=True)]
+    order = data.draw(st.lists(st.sampled_from(range(len(parts))), min_size=1, max_size=5))
+    whole, want = M.Blocks.joined([parts[k][0] for k in order]), [sum((parts[k][1][f] for k in order), []) for f in range(n)]
+    first = data.draw(st.integers(0, whole.size - 1))
+    length = data.draw(st.integers(1, whole.size - first))
+    got = [r.v for r in whole.cut(first, length).stream().df.where(f"pos < {n * length}").orderBy("pos").collect()]
+    assert got == sum((x[first : first + length] for x in want), [])
+
+
+def test_pendulum_by_plain_fold(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k % 3, k, float(rng.normal(0, 2))) for k in range(60)] + [(9, 0, None)]
+    got = collections.defaultdict(list)
+    for r in neural.pendulum(spark.createDataFrame(rows, "who int, at bigint, torque double"), "who", "at", "torque").orderBy("who", "step").collect():
+        got[r.who].append((r.step, r.theta, r.speed, r.reward))
+    for who in (0, 1, 2, 9):
+        theta, speed, want = math.pi, 0.0, []
+        for w, at, u in rows:
+            if w == who:
+                u = max(-2.0, min(2.0, u or 0.0))
+                angle = math.atan2(math.sin(theta), math.cos(theta))
+                reward = -(angle**2 + 0.1 * speed**2 + 0.001 * u**2)
+                speed = max(-8.0, min(8.0, speed + 0.05 * (15 * math.sin(theta) + 3 * u)))
+                theta += 0.05 * speed
+                want.append((at, theta, speed, reward))
+        assert np.allclose(got[who], want, atol=1e-9)
+
+
+def test_ranges_of_bounds(spark):
+    for n in (0, 1, 2, 3, 10, 101):
+        bounds = [3 * k for k in range(n)]
+        got = [r[0] for r in spark.range(-2, 320, 1, 1).select(_range_of(bounds, F.col("id"))).collect()]
+        assert got == [sum(b <= x for b in bounds) for x in range(-2, 320)]
+
+
+@pytest.mark.parametrize(("keep", "n"), [(0.98, 3000), (0.5, 700), (1.0, 500), (-0.9, 300), (0.0, 20), (1.01, 300)])
+def test_linear_scan_over_many_blocks(spark, keep, n):
+    acc, want = 0.0, {}
+    for k in range(n):
+        acc = keep * acc + k % 17
+        want[k] = acc
+    got = {r.pos: r.acc for r in K.linear_scan(TokenStream(spark.range(n).selectExpr("id AS pos", "id % 17 AS v")), "v", keep, block=8).df.collect()}
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert K.linear_scan(TokenStream(spark.range(0).selectExpr("id AS pos", "id AS v")), "v", keep).df.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()

@@ -58,8 +58,19 @@ def dominating_motion(vectors: DataFrame, by: str = "frame", x: str = "dx", y: s
     return kept.groupBy(by).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
 
 
-def rendered(frame: DataFrame, shift_x: int, shift_y: int, before: DataFrame, fade: float = 0.9) -> DataFrame:
-    """The frame pasted at an offset over the faded frame before: (y, x, v)."""
-    pasted = frame.select((F.col("y") + shift_y).alias("y"), (F.col("x") + shift_x).alias("x"), F.col("v").alias("fresh"))
-    old = before.select("y", "x", F.col("v").alias("old"))
-    return old.join(pasted, ["y", "x"], "left").select("y", "x", F.coalesce("fresh", (F.col("old") * fade).cast("bigint")).alias("v"))
+def residue(accumulated: Column, tap: float) -> Column:
+    """What a high-pass filter takes off the accumulated motion, halved: the part of it that moves the picture."""
+    return accumulated * (1 - tap) / 2
+
+
+def filtered(before: Column, accumulated: Column, tap: float) -> Column:
+    """The filtered motion after a frame: what rounding left of the one before, and the residue."""
+    return before - F.round(before) + residue(accumulated, tap)
+
+
+def rendered(frame: DataFrame, shift_x: int, shift_y: int, before: DataFrame, fade: float = 0.9, by: tuple[str, ...] = ()) -> DataFrame:
+    """The frame pasted at an offset over the faded frame before: (y, x, v);
+    many frames at once, each over the one with its values in `by`."""
+    pasted = frame.select(*by, (F.col("y") + shift_y).alias("y"), (F.col("x") + shift_x).alias("x"), F.col("v").alias("fresh"))
+    old = before.select(*by, "y", "x", F.col("v").alias("old"))
+    return old.join(pasted, [*by, "y", "x"], "left").select(*by, "y", "x", F.coalesce("fresh", (F.col("old") * fade).cast("bigint")).alias("v"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,17 +75,31 @@ def gaussian_sample(mean: Column, sigma: Column, seed: int) -> Column:
 def pendulum(actions: DataFrame, key: str, order: str, action: str, dt: float = 0.05, gravity: float = 10.0, most_torque: float = 2.0, most_speed: float = 8.0) -> DataFrame:
     """Swing a pendulum from rest at the bottom, episode by episode: (key,
     step, theta, speed, reward). The state feeds itself, so an episode is one
-    fold; episodes run in parallel."""
-    episode = actions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(action).cast("double").alias("a")))).alias("s"))
-    turn = lambda x: F.pmod(x + F.pi(), 2 * F.pi()) - F.pi()
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        u = clip(s["a"], -most_torque, most_torque)
-        speed = clip(last["speed"] + (1.5 * gravity * F.sin(last["theta"]) + 3.0 * u) * dt, -most_speed, most_speed)
-        reward = -(F.pow(turn(last["theta"]), 2) + 0.1 * F.pow(last["speed"], 2) + 0.001 * u * u)
-        return F.concat(acc, F.array(F.struct(s["o"].alias("step"), (last["theta"] + speed * dt).alias("theta"), speed.alias("speed"), reward.alias("reward"))))
-
-    kind = actions.schema[order].dataType.simpleString()
-    start = F.array(F.struct(F.lit(None).cast(kind).alias("step"), F.pi().alias("theta"), F.lit(0.0).alias("speed"), F.lit(0.0).alias("reward")))
-    return episode.select(key, F.inline(F.slice(F.aggregate("s", start, step), 2, F.size("s"))))
+    fold, in a group of its own; episodes run in parallel."""
+    given = actions.select(key, F.col(order).alias("step"), F.col(action).cast("double").alias("__u"))
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema}
+
+    def swing(episode: pa.Table) -> pa.Table:
+        episode = episode.sort_by("step")
+        theta, speed, rows = math.pi, 0.0, []
+        for u in episode.column("__u").to_pylist():
+            u = min(most_torque, max(-most_torque, 0.0 if u is None else u))
+            turned = (theta + math.pi) % (2 * math.pi) - math.pi
+            reward = -(turned**2 + 0.1 * speed**2 + 0.001 * u * u)
+            speed = min(most_speed, max(-most_speed, speed + (1.5 * gravity * math.sin(theta) + 3.0 * u) * dt))
+            theta += speed * dt
+            rows.append((theta, speed, reward))
+        columns = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
+        return pa.table([episode.column(key), episode.column("step"), *columns], names=[key, "step", "theta", "speed", "reward"])
+
+    return given.groupBy(key).applyInArrow(swing, f"`{key}` {kinds[key]}, step {kinds['step']}, theta double, speed double, reward double")
+
+
+def sigma(step: Column, start: float = 1.0, period: int = 20000) -> Column:
+    """The exploration width of a step: it falls evenly from `start` to nothing and starts again."""
+    return F.lit(start) * (1 - F.greatest(F.lit(0), F.pmod(step, F.lit(period)) - 1) / period)
+
+
+def updates(variance: Column, delta: Column, rate: float = 0.001, times: int = 40) -> dict[str, Column]:
+    """How often an actor is updated, and the running variance of the error after it."""
+    return {"n": F.lit(times), "variance": variance * (1 - rate) + rate * delta * delta}

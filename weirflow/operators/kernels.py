@@ -7,6 +7,7 @@ cases with built-in expressions; `arrow` runs a numpy function over blocks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weirflow.operators.tokens import POS, TokenStream, counting
 
@@ -91,16 +93,22 @@ def nothing(f: Firing) -> list[TokenStream]:
 def linear_scan(stream: TokenStream, value: str, keep: float, gain: float = 1.0, out: str = "acc", block: int = 1024) -> TokenStream:
     """acc[n] = keep * acc[n-1] + gain * value[n], in parallel.
 
-    Within a block of positions by a fold, across blocks by the blocks' last
-    values: what a block hands on is keep ** block times what it was given plus
-    its own end, a fold over one row a block (n / block rows in one task)."""
-    df = stream.df.withColumn("__f", F.expr(f"pos div {block}"))
-    rows = df.groupBy("__f").agg(F.sort_array(F.collect_list(F.struct(POS, F.col(value).cast("double").alias("x")))).alias("r"))
-    step = lambda a, r: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) * keep + r["x"] * gain))
-    own = rows.withColumn("s", F.aggregate("r", F.array().cast("array<double>"), step))
-    ends = own.select("__f", F.element_at("s", -1).alias("end"), F.size("r").alias("k"))
-    carried = ends.agg(F.sort_array(F.collect_list(F.struct("__f", "end", "k"))).alias("e"))
-    fold = F.aggregate("e", F.array(F.struct(F.lit(-1).cast("bigint").alias("__f"), F.lit(0.0).alias("carry"))), lambda a, e: F.concat(a, F.array(F.struct(e["__f"].alias("__f"), (F.element_at(a, -1)["carry"] * F.pow(F.lit(keep), e["k"]) + e["end"]).alias("carry")))))
-    given = carried.select(F.inline(fold)).select((F.col("__f") + 1).alias("__f"), "carry")
-    whole = own.join(given, "__f", "left").select(F.coalesce("carry", F.lit(0.0)).alias("carry"), F.posexplode(F.arrays_zip("r", "s")).alias("i", "z"))
-    return TokenStream(whole.select(F.col(f"z.r.{POS}").alias(POS), (F.col("z.s") + F.col("carry") * F.pow(F.lit(keep), F.col("i") + 1)).alias(out)))
+    Within a block of positions acc is keep^i times the running sum of
+    value[j] / keep^j, a window over the block; across blocks, what blocks hand
+    on is the same scan over their ends with keep ** block, one level up, until
+    one block is left. No task gets more than a block."""
+    if keep == 0:
+        return TokenStream(stream.df.select(POS, (F.col(value).cast("double") * gain).alias(out)))
+    if abs(keep) != 1:  # powers stay within what a double holds
+        block = max(2, min(block, int(200 / abs(math.log10(abs(keep))))))
+    df = stream.df.select(POS, (F.col(value).cast("double") * gain).alias("__x"), F.expr(f"pos div {block}").alias("__f"), F.expr(f"pos % {block}").alias("__i"))
+    power = F.pow(F.lit(float(keep)), F.col("__i"))
+    running = F.sum(F.col("__x") / power).over(W.partitionBy("__f").orderBy(POS))
+    own = df.select(POS, "__f", "__i", (running * power).alias("__own"))
+    last = stream.df.agg(F.max(POS)).first()[0]
+    if last is None or last < block:
+        return TokenStream(own.select(POS, F.col("__own").alias(out)))
+    ends = TokenStream(own.where(f"__i = {block - 1}").select(F.col("__f").alias(POS), F.col("__own").alias("end")))
+    given = linear_scan(ends, "end", keep**block, 1.0, "__carry", block).df.select((F.col(POS) + 1).alias("__g"), "__carry")
+    whole = own.join(given, F.col("__f") == F.col("__g"), "left")
+    return TokenStream(whole.select(POS, (F.col("__own") + F.coalesce("__carry", F.lit(0.0)) * power * keep).alias(out)))

@@ -6,6 +6,7 @@ All are projections, filters, unions and one bounded explode over positions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
 
@@ -19,6 +20,91 @@ class RateError(ValueError):
     """Rates that do not fit each other."""
 
 
+@dataclass(frozen=True)
+class Piece:
+    """`length` tokens from place `offset` on of each block of `rate` tokens of a stream."""
+
+    stream: TokenStream
+    rate: int
+    offset: int
+    length: int
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """What data movement makes, before any of it is read: each firing's block
+    is these pieces in a row. Forks cut pieces, joins put them in a row, and
+    pieces that lie side by side in their stream become one again, so whatever
+    movement cancels out is never planned. `stream` reads each stream once."""
+
+    pieces: tuple[Piece, ...]
+    like: TokenStream
+
+    @classmethod
+    def of(cls, stream: TokenStream, rate: int) -> Blocks:
+        return cls((Piece(stream, rate, 0, rate),) if rate else (), stream)
+
+    @classmethod
+    def joined(cls, parts: Sequence[Blocks]) -> Blocks:
+        out: list[Piece] = []
+        for x in [x for b in parts for x in b.pieces]:
+            last = out[-1] if out else None
+            if last is not None and last.stream is x.stream and last.rate == x.rate and last.offset + last.length == x.offset:
+                out[-1] = Piece(x.stream, x.rate, last.offset, last.length + x.length)
+            else:
+                out.append(x)
+        return cls(tuple(out), parts[0].like)
+
+    @property
+    def size(self) -> int:
+        return sum(x.length for x in self.pieces)
+
+    def cut(self, first: int, length: int) -> Blocks:
+        if not 0 <= first <= self.size - length:
+            raise RateError(f"{length} tokens from {first} on of {self.size}")
+        out, at = [], 0
+        for x in self.pieces:
+            low, high = max(first, at), min(first + length, at + x.length)
+            if low < high:
+                out.append(Piece(x.stream, x.rate, x.offset + low - at, high - low))
+            at += x.length
+        return Blocks(tuple(out), self.like)
+
+    def stream(self) -> TokenStream:
+        if not self.pieces:
+            return empty(self.like)
+        if len(self.pieces) == 1 and self.pieces[0].length == self.pieces[0].rate:
+            return self.pieces[0].stream
+        by_stream: dict[tuple[int, int], list[tuple[Piece, int]]] = {}
+        for x, at in zip(self.pieces, accumulate([0, *(x.length for x in self.pieces)]), strict=False):
+            by_stream.setdefault((id(x.stream), x.rate), []).append((x, at))
+        parts = [_placed(found, self.size).df for found in by_stream.values()]
+        return TokenStream(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def _placed(found: list[tuple[Piece, int]], size: int) -> TokenStream:
+    """Pieces of one stream at their places in blocks of `size`."""
+    stream, rate = found[0][0].stream, found[0][0].rate
+    inside = [f"pos % {rate} BETWEEN {x.offset} AND {x.offset + x.length - 1}" for x, _ in found]
+    places = [f"(pos div {rate}) * {size} + {at - x.offset} + pos % {rate}" for x, at in found]
+    if sum(x.length for x, _ in found) == _covered([x for x, _ in found]):
+        where = " OR ".join(inside)
+        pos = places[0] if len(found) == 1 else "CASE " + " ".join(f"WHEN {w} THEN {p}" for w, p in zip(inside, places, strict=True)) + " END"
+        return stream.at(pos, where)
+    copies = ", ".join(f"IF({w}, {p}, NULL)" for w, p in zip(inside, places, strict=True))
+    spread = stream.df.withColumn("__p", F.expr(f"explode(array_compact(array({copies})))"))
+    return TokenStream(spread.select(F.col("__p").cast("bigint").alias(POS), *stream.values))
+
+
+def _covered(pieces: Sequence[Piece]) -> int:
+    """How many places of a block some piece has."""
+    total, end = 0, 0
+    for x in sorted(pieces, key=lambda x: x.offset):
+        total += max(0, x.offset + x.length - max(end, x.offset))
+        end = max(end, x.offset + x.length)
+    return total
+
+
 def fork(stream: TokenStream, rate: int, outs: Sequence[int]) -> list[TokenStream]:
     """Each block of `rate` tokens into consecutive slices."""
     if rate != sum(outs):

@@ -53,7 +53,7 @@ def from_table(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sample = sorted({r[0] for r in picked.select(keys[0]).where(keys[0].isNotNull()).orderBy(F.xxhash64(*keys)).limit(32 * parts).collect()})
     bounds = sorted({sample[k * len(sample) // parts] for k in range(1, parts)}) if sample else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= keys[0])) if bounds else F.lit(0)
+    part = _range_of(bounds, keys[0])
     dealt = picked.withColumn("__part", F.when(keys[0].isNull(), F.lit(0)).otherwise(part))
     counts = {r["__part"]: r.n for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     first, total = [], 0
@@ -65,6 +65,19 @@ def from_table(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -
     return TokenStream(dealt.withColumn("__row", row).select((offset + F.col("__row")).alias(POS), *columns))
 
 
+def _range_of(bounds: Sequence, key: Column) -> Column:
+    """How many of the bounds (in order) are not over the key, in two steps of
+    about the square root of their number each."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    under = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    group = under(F.array(*[F.lit(g[0]) for g in groups]))
+    own = F.element_at(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), F.greatest(F.lit(1), group))
+    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + under(own))
+
+
 def from_dense(df: DataFrame, key: str, columns: Sequence[str], first: int = 0) -> TokenStream:
     """Rows of a table whose key already counts rows without a gap: a
     projection, without any exchange or driver work."""

@@ -15,7 +15,7 @@ from weirflow.functions.expr import Expression
 from weirflow.operators import kernels as K
 from weirflow.operators import movement as M
 from weirflow.operators.tokens import TokenStream, from_dense, from_table
-from weirflow.plans import repetition
+from weirflow.plans import lineage, repetition
 from weirflow.plans.expand import unroll
 from weirflow.plans.graph import Graph
 from weirflow.plans.lower import complete_iterations, lower
@@ -272,10 +272,36 @@ def rewrite_fork_fork(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([*rows, ("after", len(u.nodes), len(u.links))], "form string, nodes int, links int")
 
 
-@query(E_SQL + "SELECT pos // 10 * 4 + pos % 10 - 3 AS pos, v FROM e WHERE pos % 10 BETWEEN 3 AND 6")
+def _slice_of_joined(spark: SparkSession, sources: dict[str, TokenStream], n: int) -> DataFrame:
+    """Blocks of 5 and 5 joined and cut into 3, 4 and 3; the middle slice."""
+    g = Graph("joined")
+    whole, cut = g.add("join", "whole", 2, 1), g.add("fork", "cut", 1, 3)
+    if len(sources) == 1:
+        source, halves = g.add("extern_in", "e", 0, 1), g.add("fork", "halves", 1, 2)
+        g.edge(source, 0, 10 * n, halves, 0, 10)
+        for k in range(2):
+            g.edge(halves, k, 5, whole, k, 5)
+    else:
+        for k, name in enumerate(sources):
+            g.edge(g.add("extern_in", name, 0, 1), 0, 5 * n, whole, k, 5)
+    g.edge(whole, 0, 10, cut, 0, 10)
+    for k, rate in enumerate((3, 4, 3)):
+        g.edge(cut, k, rate, g.add("extern_out", "out", 1, 0) if k == 1 else g.add("end", f"end_{k}", 1, 0), 0, rate * n if k == 1 else rate)
+    return lower(g, spark, sources).outputs["out"].df
+
+
+@query(E_SQL + "SELECT pos // 10 * 4 + pos % 10 - 3 AS pos, v FROM e WHERE pos % 10 BETWEEN 3 AND 6 AND pos < (SELECT count(*) // 10 * 10 FROM e)")
 def join_then_fork(spark: SparkSession, sf: str) -> DataFrame:
-    whole = M.join(M.fork(events(spark, sf), 10, [5, 5]), [5, 5])
-    return M.fork(whole, 10, [3, 4, 3])[1].df
+    """What was cut, joined and cut again is one slice: one scan, one filter."""
+    n = spark.read.parquet(f"{sf}/events.parquet").count() // 10
+    return _slice_of_joined(spark, {"e": events(spark, sf)}, n)
+
+
+@query(E_SQL.rstrip() + ", o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_totalprice AS v FROM orders), n AS (SELECT least((SELECT count(*) FROM e), (SELECT count(*) FROM o)) // 5 AS n) SELECT pos // 5 * 4 + pos % 5 - 3 AS pos, v FROM e, n WHERE pos % 5 >= 3 AND pos < 5 * n UNION ALL SELECT pos // 5 * 4 + pos % 5 + 2, v FROM o, n WHERE pos % 5 < 2 AND pos < 5 * n")
+def rewrite_join_fork(spark: SparkSession, sf: str) -> DataFrame:
+    """A slice across two joined streams: each is read once, for its part of the slice."""
+    n = min(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("events", "orders")) // 5
+    return _slice_of_joined(spark, {"e": events(spark, sf), "o": orders(spark, sf)}, n)
 
 
 @query("SELECT vec_id, round(sum(CAST(x AS DOUBLE) * (i % 5 - 2)) + 0.5, 5) AS y FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY vec_id")
@@ -311,10 +337,13 @@ def block_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return motion.block_statistics(e, "b", "x", "y").select("b", "n", "mx", "my", *[F.round(c, 4).alias(c) for c in ("cxx", "cyy", "cxy")])
 
 
-@query("WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value AS v FROM events WHERE event_id < 3000), r AS (SELECT pos, v AS acc FROM e WHERE pos = 0 UNION ALL SELECT e.pos, 0.98 * r.acc + e.v FROM r JOIN e ON e.pos = r.pos + 1) SELECT pos, round(acc, 4) AS acc FROM r")
+#: The filter looks back 3000 tokens block by block: 0.98 ** 3000 is under 1e-26.
+_ACC = E_SQL.rstrip() + ", w AS (SELECT pos, v, pos // 1000 AS b, pos % 1000 AS i FROM e), s AS (SELECT b, sum(v * pow(0.98, 999 - i)) AS t FROM w GROUP BY b), a AS (SELECT w.pos, sum(v * pow(0.98, -i)) OVER (PARTITION BY w.b ORDER BY pos) * pow(0.98, i) + pow(0.98, i + 1) * (coalesce(x.t, 0) + pow(0.98, 1000) * coalesce(y.t, 0) + pow(0.98, 2000) * coalesce(z.t, 0)) AS acc FROM w LEFT JOIN s x ON x.b = w.b - 1 LEFT JOIN s y ON y.b = w.b - 2 LEFT JOIN s z ON z.b = w.b - 3) "
+
+
+@query(_ACC + "SELECT pos, round(acc, 4) AS acc FROM a")
 def accumulate_motion(spark: SparkSession, sf: str) -> DataFrame:
-    """acc' = 0.98 acc + v over all tokens. The recursion of the SQL side stops
-    after 3000, so the two agree on tables of up to 3000 events."""
+    """acc' = 0.98 acc + v over all tokens."""
     return K.linear_scan(events(spark, sf), "v", 0.98, block=256).df.select("pos", F.round("acc", 4).alias("acc"))
 
 
@@ -346,10 +375,9 @@ def pendulum_episodes(spark: SparkSession, sf: str) -> DataFrame:
     return neural.pendulum(e, "user_id", "event_id", "torque")
 
 
-@query("WITH p AS (SELECT event_id // 240 AS frame, event_id % 240 // 20 AS y, event_id % 20 AS x, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id < 960), b AS (SELECT *, y // 4 * 5 + x // 4 AS block FROM p), s AS (SELECT a.range AS dx, c.range AS dy FROM range(-2, 3) a, range(-1, 2) c), c AS (SELECT b.frame, b.block, dx, dy, CAST(sum((b.v - q.v) * (b.v - q.v)) AS BIGINT) // count(*) AS cost, count(*) AS k FROM b, s, p q WHERE q.frame + 1 = b.frame AND q.x = b.x + dx AND q.y = b.y + dy GROUP BY ALL) SELECT frame, block, dx, dy, cost FROM c WHERE 2 * k >= 16 QUALIFY row_number() OVER (PARTITION BY frame, block ORDER BY cost, dy, dx) = 1")
+@query("WITH p AS (SELECT event_id // 240 AS frame, event_id % 240 // 20 AS y, event_id % 20 AS x, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id < (SELECT count(*) // 240 * 240 FROM events)), b AS (SELECT *, y // 4 * 5 + x // 4 AS block FROM p), s AS (SELECT a.range AS dx, c.range AS dy FROM range(-2, 3) a, range(-1, 2) c), c AS (SELECT b.frame, b.block, dx, dy, CAST(sum((b.v - q.v) * (b.v - q.v)) AS BIGINT) // count(*) AS cost, count(*) AS k FROM b, s, p q WHERE q.frame + 1 = b.frame AND q.x = b.x + dx AND q.y = b.y + dy GROUP BY ALL) SELECT frame, block, dx, dy, cost FROM c WHERE 2 * k >= 16 QUALIFY row_number() OVER (PARTITION BY frame, block ORDER BY cost, dy, dx) = 1")
 def block_motion(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of all whole frames of 240 events. The SQL side stops after four
-    frames, so the two agree on tables of under 1200 events."""
+    """Vectors of all whole frames of 240 events."""
     read = spark.read.parquet(f"{sf}/events.parquet")
     whole = read.count() // 240 * 240
     pixels = read.where(F.col("event_id") < whole).selectExpr("event_id div 240 AS frame", "event_id % 240 div 20 AS y", "event_id % 20 AS x", "CAST(floor(value) AS BIGINT) AS v")
@@ -357,6 +385,111 @@ def block_motion(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("frame", "block", F.col("dx").cast("bigint").alias("dx"), F.col("dy").cast("bigint").alias("dy"), "cost")
 
 
+#: Vectors by frame, 50 events each: whole numbers from -4 to 4, and -1 to 1.
+_VECTORS = "event_id // 50 AS frame, CAST(floor(value) AS BIGINT) % 9 - 4 AS dx, user_id % 3 - 1 AS dy"
+_STATS = f"WITH e AS (SELECT event_id, {_VECTORS} FROM events), s AS (SELECT frame, count(*) AS n, CAST(trunc(avg(dx)) AS BIGINT) AS mx, CAST(trunc(avg(dy)) AS BIGINT) AS my FROM e GROUP BY frame), c AS (SELECT frame, any_value(mx) AS mx, any_value(my) AS my, sum((dx - mx) * (dx - mx)) / (any_value(n) - 1) AS xx, sum((dy - my) * (dy - my)) / (any_value(n) - 1) AS yy, sum((dx - mx) * (dy - my)) / (any_value(n) - 1) AS xy FROM e JOIN s USING (frame) GROUP BY frame HAVING any_value(n) > 1), d AS (SELECT event_id, frame, dx, dy, CASE WHEN xx * yy - xy * xy > 0 THEN exp(-(yy * (dx - mx) * (dx - mx) - 2 * xy * (dx - mx) * (dy - my) + xx * (dy - my) * (dy - my)) / (2 * (xx * yy - xy * xy))) / (2 * pi() * sqrt(xx * yy - xy * xy)) WHEN xx > 0 THEN exp(-(dx - mx) * (dx - mx) / (2 * xx)) / sqrt(2 * pi() * xx) WHEN yy > 0 THEN exp(-(dy - my) * (dy - my) / (2 * yy)) / sqrt(2 * pi() * yy) ELSE 1 END AS p FROM e JOIN c USING (frame)) "
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "event_id div 50 AS frame", "CAST(floor(value) AS BIGINT) % 9 - 4 AS dx", "user_id % 3 - 1 AS dy")
+
+
+@query(_STATS + "SELECT event_id, round(p, 8) AS p FROM d")
+def motion_densities(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    scored = v.join(motion.block_statistics(v, "frame"), "frame")
+    return scored.select("event_id", F.round(motion.density(F.col("dx"), F.col("dy"), {k: F.col(k) for k in ("mx", "my", "cxx", "cyy", "cxy")}), 8).alias("p"))
+
+
+@query(_STATS + "SELECT frame, round(avg(dx), 6) AS mx, round(avg(dy), 6) AS my FROM d JOIN (SELECT frame, max(p) AS most FROM d GROUP BY frame) USING (frame) WHERE p > most * 2 / 3 GROUP BY frame")
+def dominating_motion(spark: SparkSession, sf: str) -> DataFrame:
+    found = motion.dominating_motion(_vectors(spark, sf))
+    return found.select("frame", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"))
+
+
+@query("WITH p AS (SELECT event_id // 240 AS frame, event_id % 240 // 20 AS y, event_id % 20 AS x, CAST(floor(value) AS BIGINT) AS v FROM events) SELECT b.frame, b.y, b.x, coalesce(a.v, CAST(trunc(b.v * 0.9) AS BIGINT)) AS v FROM p b LEFT JOIN p a ON a.frame = b.frame + 1 AND a.y + 2 = b.y AND a.x - 3 = b.x")
+def render_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frame pasted over the faded one before it, 3 to the left and 2 down."""
+    pixels = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id div 240 AS frame", "event_id % 240 div 20 AS y", "event_id % 20 AS x", "CAST(floor(value) AS BIGINT) AS v")
+    return motion.rendered(pixels.withColumn("frame", F.col("frame") - 1), -3, 2, pixels, by=("frame",))
+
+
+@query(_ACC.rstrip() + ", k AS (SELECT pos, coalesce(lag(acc) OVER (ORDER BY pos), 0) AS before FROM a) SELECT pos, round(before * (1 - 0.98) / 2, 6) AS residue, round(before, 4) AS before FROM k")
+def motion_residue(spark: SparkSession, sf: str) -> DataFrame:
+    """What the high-pass filter lets through: half of what it takes from the motion accumulated so far."""
+    acc = K.linear_scan(events(spark, sf), "v", 0.98, block=256)
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    before = M.persistent_delay(acc, 1, n)[0].df
+    return before.select("pos", F.round(motion.residue(F.col("acc"), 0.98), 6).alias("residue"), F.round("acc", 4).alias("before"))
+
+
+_NET = "WITH x AS (SELECT event_id, value / 100 AS p, user_id % 7 / 7 AS t, tanh(value / 100) AS a FROM events) "
+
+
+@query(_NET + "SELECT event_id, round(2 * (p - t) * (1 - a * a), 6) AS error, round(2 * (p - t) * (1 - a * a) * 0.5 * (1 - a * a), 6) AS b0, round(2 * (p - t) * (1 - a * a) * -0.25 * a, 6) AS b1, round(2 * (p - t) * (1 - a * a) * p, 6) AS g0, round(2 * (p - t) * (1 - a * a) * t, 6) AS g1, round(((t - p) * (t - p) + a * a) / 2, 6) AS loss FROM x")
+def mlp_gradients(spark: SparkSession, sf: str) -> DataFrame:
+    """An output neuron's error, the errors of two neurons before it, the gradients of two weights, and a loss of two outputs."""
+    x = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("value") / 100).alias("p"), (F.col("user_id") % 7 / 7).alias("t")).withColumn("a", F.tanh("p"))
+    slope = neural.DERIVATIVES["tanh"](F.col("p"))
+    found = x.withColumn("e", neural.output_error(F.col("p"), F.col("t"), slope))
+    errors = F.array("e")
+    back = neural.back_propagated(errors, F.array(F.array(F.lit(0.5), F.lit(-0.25))), F.array(slope, F.col("a")))
+    gradients = neural.weight_gradients(errors, F.array("p", "t"))
+    loss = neural.half_squared_loss(F.array("p", F.lit(0.0)), F.array("t", "a"))
+    found = found.select("event_id", "e", back.alias("b"), gradients.alias("g"), loss.alias("l"))
+    return found.select("event_id", *[F.round(c, 6).alias(n) for n, c in {"error": F.col("e"), "b0": F.col("b")[0], "b1": F.col("b")[1], "g0": F.col("g")[0][0], "g1": F.col("g")[0][1], "loss": F.col("l")}.items()])
+
+
+@query("SELECT event_id, value / 100 AS linear, CAST(1 AS DOUBLE) AS d_linear, CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS d_relu, round(1 / pow(1 + abs(value / 100), 2), 6) AS d_softsign, round(1 / (1 + exp(-value / 100)) * (1 - 1 / (1 + exp(-value / 100))), 6) AS d_logistic FROM events")
+def mlp_derivatives(spark: SparkSession, sf: str) -> DataFrame:
+    x, d = F.col("value") / 100, neural.DERIVATIVES
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", neural.ACTIVATIONS["linear"](x).alias("linear"), d["linear"](x).alias("d_linear"), d["relu"](x).alias("d_relu"), F.round(d["softsign"](x), 6).alias("d_softsign"), F.round(d["logistic"](x), 6).alias("d_logistic"))
+
+
+def _deep() -> Graph:
+    """Three levels, a delay at each: src -> mid (a -> low (b)) -> end."""
+    g = Graph("top")
+    src, end, mid = g.actor("src", 0, 1), g.actor("end", 1, 0), g.subgraph("mid", 1, 1)
+    g.edge(src, 0, 4, mid, 0, 2)
+    g.persistent_delay(g.edge(mid, 0, 1, end, 0, 1), 1)
+    a, low = mid.actor("a", 1, 1), mid.subgraph("low", 1, 1)
+    mid.edge(mid.input(0), 0, 2, a, 0, 1)
+    mid.local_delay(mid.edge(a, 0, 2, low, 0, 4), 1)
+    mid.edge(low, 0, 1, mid.output(0), 0, 1)
+    b = low.actor("b", 1, 1)
+    low.edge(low.input(0), 0, 4, b, 0, 3)
+    low.edge(b, 0, 1, low.output(0), 0, 1)
+    return g
+
+
+#: Fixed values, worked out by hand: mid fires twice, a four times, low twice, b four times.
+_READS = """SELECT sink, CAST(k AS BIGINT) AS k, port, CAST("at" AS BIGINT) AS "at", source, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST("from" AS BIGINT) AS "from", CAST("to" AS BIGINT) AS "to" FROM (VALUES
+    ('mid/a', 0, 0, 0, 'src', 0, 0, 0, 0), ('mid/a', 1, 0, 0, 'src', 0, 0, 1, 1), ('mid/a', 2, 0, 0, 'src', 0, 0, 2, 2), ('mid/a', 3, 0, 0, 'src', 0, 0, 3, 3),
+    ('mid/low/b', 0, 0, 0, 'delay-a_0--low_0', -1, -1, 0, 0), ('mid/low/b', 0, 0, 1, 'mid/a', 0, 0, 0, 1),
+    ('mid/low/b', 1, 0, 0, 'mid/a', 1, 1, 0, 0), ('mid/low/b', 1, 0, 1, 'delay-a_0--low_0', -1, -1, 0, 0), ('mid/low/b', 1, 0, 2, 'mid/a', 0, 0, 0, 0),
+    ('mid/low/b', 2, 0, 0, 'delay-a_0--low_0', -1, -1, 0, 0), ('mid/low/b', 2, 0, 1, 'mid/a', 2, 2, 0, 1),
+    ('mid/low/b', 3, 0, 0, 'mid/a', 3, 3, 0, 0), ('mid/low/b', 3, 0, 1, 'delay-a_0--low_0', -1, -1, 0, 0), ('mid/low/b', 3, 0, 2, 'mid/a', 2, 2, 0, 0),
+    ('end', 0, 0, 0, 'delay-mid_0--end_0', -1, -1, 0, 0), ('end', 1, 0, 0, 'mid/low/b', 1, 1, 0, 0)
+) t(sink, k, port, "at", source, first, last, "from", "to")"""
+_READERS = """SELECT source, CAST(firing AS BIGINT) AS firing, sink, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST("from" AS BIGINT) AS "from", CAST("to" AS BIGINT) AS "to" FROM (VALUES
+    ('src', 0, 'mid/a', 0, 3, 0, 3),
+    ('mid/a', 0, 'mid/low/b', 0, 0, 0, 1), ('mid/a', 0, 'mid/low/b', 1, 1, 0, 0), ('mid/a', 1, 'mid/low/b', 1, 1, 0, 0), ('mid/a', 2, 'mid/low/b', 2, 2, 0, 1), ('mid/a', 2, 'mid/low/b', 3, 3, 0, 0), ('mid/a', 3, 'mid/low/b', 3, 3, 0, 0),
+    ('mid/low/b', 0, NULL, -1, -1, 0, 0), ('mid/low/b', 1, 'end', 1, 1, 0, 0), ('mid/low/b', 2, NULL, -1, -1, 0, 0), ('mid/low/b', 3, NULL, -1, -1, 0, 0)
+) t(source, firing, sink, first, last, "from", "to")"""
+
+
+@query(_READS)
+def exec_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """What every firing of a graph of three levels reads, in one iteration."""
+    return lineage.reads(spark, _deep()).drop("source_port")
+
+
+@query(_READERS)
+def cons_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Who reads what every firing of that graph makes."""
+    return lineage.readers(spark, _deep()).drop("source_port", "port")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

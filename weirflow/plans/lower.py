@@ -2,13 +2,16 @@
 
 Firings are never unrolled: an actor's firings are blocks of positions, and a
 nested graph is lowered once for all its firings, because positions stay global
-across them. Cycles are allowed where a delay breaks them only through state
+across them. Data movement is not planned actor by actor: a run of forks, joins,
+heads, tails and duplicates is put together as pieces of the streams that enter
+it, so what cancels out leaves no trace and each stream is read once. Cycles are allowed where a delay breaks them only through state
 kept between runs; a cycle within one run has no lowering and is refused."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +22,10 @@ from weirflow.plans.graph import Edge, Graph, GraphError, Kind, Vertex
 from weirflow.plans.repetition import rates, repetitions
 
 
+#: Actors that only rearrange the tokens of a firing.
+MOVES = (Kind.FORK, Kind.JOIN, Kind.HEAD, Kind.TAIL, Kind.DUPLICATE)
+
+
 @dataclass
 class Lowered:
     """Streams of every edge as its sink reads them, what external outputs got
@@ -70,11 +77,11 @@ def _order(graph: Graph) -> list[Vertex]:
 def _body(graph: Graph, spark: SparkSession, sources: Mapping[str, TokenStream], firings: int, state: dict[str, TokenStream], given: dict[Vertex, TokenStream], out: Lowered) -> dict[Vertex, TokenStream]:
     scope = graph.scope()
     rv = repetitions(graph, scope)
-    made: dict[tuple[Vertex, int], TokenStream] = {(v, 0): s for v, s in given.items()}
+    made: dict[tuple[Vertex, int], TokenStream | M.Blocks] = {(v, 0): s for v, s in given.items()}
     left: dict[Vertex, TokenStream] = {}
 
-    def read(e: Edge) -> TokenStream | None:
-        """The stream of an edge as its sink sees it."""
+    def read(e: Edge) -> TokenStream | M.Blocks | None:
+        """The stream of an edge as its sink sees it; blocks where data is only moved on."""
         a, b = rates(e, scope)
         if e.source.kind is Kind.DELAY:
             d = next(d for d in graph.delays if d.vertex is e.source)
@@ -82,6 +89,10 @@ def _body(graph: Graph, spark: SparkSession, sources: Mapping[str, TokenStream],
         found = made.get((e.source, e.source_port))
         if found is None or b == 0:
             return None
+        if isinstance(found, M.Blocks):
+            if e.sink.kind in MOVES and a == b and e.delay is None:
+                return found
+            found = found.stream()
         inner = b * (rv[e.sink] if e.sink in rv else 1)
         if e.source.kind is Kind.INPUT and e.sink.kind is not Kind.OUTPUT:
             found = M.input_interface(found, a, inner)
@@ -103,7 +114,7 @@ def _body(graph: Graph, spark: SparkSession, sources: Mapping[str, TokenStream],
                 setter = read(e.delay.setter) if e.delay.setter is not None else None
                 found, made[(e.delay.vertex, 0)] = M.local_delay(found, size, block, times, setter)
         out.edges[e] = found
-        return found
+        return M.Blocks.of(found, b) if e.sink.kind in MOVES else found
 
     for v in _order(graph):
         n = rv[v] * firings
@@ -139,19 +150,22 @@ def _fire(v: Vertex, spark: SparkSession, ins: list, in_rates: list[int], out_ra
             out.outputs[v.name] = ins[0]
             return []
         case Kind.FORK:
-            return M.fork(ins[0], in_rates[0], out_rates)
+            if in_rates[0] != sum(out_rates):
+                raise M.RateError(f"a fork of {in_rates[0]} tokens gives {sum(out_rates)}")
+            return [ins[0].cut(o, r) for o, r in zip(accumulate([0, *out_rates]), out_rates, strict=False)]
         case Kind.JOIN:
-            used = [(s, r) for s, r in zip(ins, in_rates, strict=True) if s is not None]
-            return [M.join(*map(list, zip(*used, strict=True)), out_rates[0])]
+            if sum(in_rates) != out_rates[0]:
+                raise M.RateError(f"a join of {sum(in_rates)} tokens gives {out_rates[0]}")
+            return [M.Blocks.joined([x for x in ins if x is not None])]
         case Kind.HEAD | Kind.TAIL:
-            used = [(s, r) for s, r in zip(ins, in_rates, strict=True) if s is not None]
-            return [(M.head if v.kind is Kind.HEAD else M.tail)(*map(list, zip(*used, strict=True)), out_rates[0])]
+            whole = M.Blocks.joined([x for x in ins if x is not None])
+            return [whole.cut(0 if v.kind is Kind.HEAD else whole.size - out_rates[0], out_rates[0])]
         case Kind.REPEAT:
             return [M.repeat(ins[0], in_rates[0], out_rates[0])]
         case Kind.DUPLICATE:
             if any(r != in_rates[0] for r in out_rates):
                 raise M.RateError(f"{v.name} duplicates {in_rates[0]} tokens to {out_rates}")
-            return M.duplicate(ins[0], len(out_rates))
+            return [ins[0]] * len(out_rates)
         case Kind.INIT:
             return [TokenStream(spark.range(n * out_rates[0]).selectExpr("id AS pos", "0L AS v"))]
         case Kind.END:
