@@ -426,7 +426,11 @@ def motion_residue(spark: SparkSession, sf: str) -> DataFrame:
 _NET = "WITH x AS (SELECT event_id, value / 100 AS p, user_id % 7 / 7 AS t, tanh(value / 100) AS a FROM events) "
 
 
-@query(_NET + "SELECT event_id, round(2 * (p - t) * (1 - a * a), 6) AS error, round(2 * (p - t) * (1 - a * a) * 0.5 * (1 - a * a), 6) AS b0, round(2 * (p - t) * (1 - a * a) * -0.25 * a, 6) AS b1, round(2 * (p - t) * (1 - a * a) * p, 6) AS g0, round(2 * (p - t) * (1 - a * a) * t, 6) AS g1, round(((t - p) * (t - p) + a * a) / 2, 6) AS loss FROM x")
+_ERROR = "2 * (p - t) * (1 - a * a)"
+_GRADIENTS = {"error": _ERROR, "b0": f"{_ERROR} * 0.5 * (1 - a * a)", "b1": f"{_ERROR} * -0.25 * a", "g0": f"{_ERROR} * p", "g1": f"{_ERROR} * t", "loss": "((t - p) * (t - p) + a * a) / 2"}
+
+
+@query(_NET + "SELECT event_id, " + ", ".join(f"CASE WHEN round({x}, 6) = 0 THEN 0 ELSE round({x}, 6) END AS {n}" for n, x in _GRADIENTS.items()) + " FROM x")
 def mlp_gradients(spark: SparkSession, sf: str) -> DataFrame:
     """An output neuron's error, the errors of two neurons before it, the gradients of two weights, and a loss of two outputs."""
     x = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("value") / 100).alias("p"), (F.col("user_id") % 7 / 7).alias("t")).withColumn("a", F.tanh("p"))
