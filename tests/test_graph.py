@@ -253,6 +253,15 @@ def test_schedule(spark):
     assert "<event" in gantt_xml(only) and gantt_svg(only).count("<rect") == 4 and "p1" in statistics_text(rows)
 
 
+def test_walk_and_visit():
+    g = Graph("g")
+    a, s = g.actor("a", 0, 1), g.subgraph("s", 1, 0)
+    b = s.actor("b", 1, 0)
+    assert list(g.walk()) == [a, s, b]
+    assert g.visit({"graph": lambda v: f"[{v.name}]", "normal": lambda v: v.name}) == ["a", "[s]", "b"]
+    assert g.visit({"default": lambda v: v.kind}) == ["normal", "graph", "normal"] and g.visit({"fork": str}) == []
+
+
 def alone(tasks):
     """No processor does two things at once."""
     for p in {t.processor.name for t in tasks}:

@@ -16,7 +16,7 @@ from weirflow.operators.tokens import TokenStream, _range_of, counting, from_tab
 from weirflow.plans import catalog
 from weirflow.plans.graph import Graph, GraphError
 from weirflow.plans.lower import complete_iterations, lower
-from weirflow.plans.runtime import Runtime
+from weirflow.plans.runtime import Options, Runtime
 from weirflow.sources.tables import buffer, collected, parquet, write_parquet
 from weirflow.streaming.driver import run_stream
 
@@ -204,6 +204,34 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert left + spark.read.parquet(str(tmp_path / "state" / "rest" / str(rest))).agg(F.sum("v")).first()[0] == 9900
 
 
+def test_trace_replay_and_endless_runs(spark, caplog):
+    g = Graph("g")
+    g.static_param("n", 3)
+    source, work, out = g.add("extern_in", "in", 0, 1), g.actor("work", 1, 1, K.mapped(v=F.col("v") + 1)), g.add("extern_out", "out", 1, 0)
+    g.edge(source, 0, "n", work, 0, 1)
+    g.edge(work, 0, 1, out, 0, "n")
+    run = Runtime(g, spark, options=Options(verbose=True))
+    s = counting(spark, 6)
+    with caplog.at_level("INFO", "weirflow"):
+        first = run.run({"in": s}, 2)
+    assert collected(first.outputs["out"]) == list(range(1, 7)) and run.run({"in": s}, 2) is first
+    assert run.run({"in": s}, 1) is not first and "2 iterations" in caplog.text
+    assert run.trace[0].firings == {"in": 2, "work": 6, "out": 2} and [x.replayed for x in run.trace] == [False, True, False]
+    assert run.summary(100.0)["iterations"] == 5 and run.summary(100.0)["overhead"] < 1
+    runs = run.forever(lambda k: {"in": counting(spark, 3)}, until=lambda k: k == 2)
+    assert [collected(x.outputs["out"]) for x in runs] == [[1, 2, 3]] * 2
+    quiet = Runtime(g, spark, options=Options(trace=False, replay=False))
+    assert quiet.run({"in": s}) is not quiet.run({"in": s}) and not quiet.trace
+
+
+def test_persistent_state_is_never_replayed(spark):
+    g = Graph("g")
+    source, out = g.add("extern_in", "in", 0, 1), g.add("extern_out", "out", 1, 0)
+    g.persistent_delay(g.edge(source, 0, 2, out, 0, 2), 1)
+    run, s = Runtime(g, spark), counting(spark, 2)
+    assert [collected(run.run({"in": s}).outputs["out"]) for _ in range(3)] == [[0, 0], [1, 0], [1, 0]]
+
+
 def scans(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
 

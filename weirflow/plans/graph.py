@@ -4,7 +4,7 @@ rates and repetitions are `repetition`'s business."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from enum import StrEnum
 
 from weirflow.functions.expr import Expression
@@ -354,6 +354,19 @@ class Graph(Vertex):
         return Delay(e, size, levels, setter, getter)
 
     # Looking
+    def walk(self) -> Iterator[Vertex]:
+        """All vertices at all levels, a graph before what it holds."""
+        for v in self.vertices:
+            yield v
+            if isinstance(v, Graph):
+                yield from v.walk()
+
+    def visit(self, visitors: Mapping[Kind | str, Callable[[Vertex], object]]) -> list:
+        """What the visitors of their kinds return for all vertices; "default" is for the other kinds."""
+        by_kind = {Kind(k) if k != "default" else k: f for k, f in visitors.items()}
+        found = [(v, by_kind.get(v.kind, by_kind.get("default"))) for v in self.walk()]
+        return [f(v) for v, f in found if f is not None]
+
     @property
     def subgraphs(self) -> list[Graph]:
         return [v for v in self.vertices if isinstance(v, Graph)]
