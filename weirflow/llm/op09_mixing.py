@@ -68,7 +68,7 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share=(3, 2), repeats: i
     )
 
 
-def mix(docs: DataFrame, size: Column, source: Column, seed: int = 7, weights=(3, 1, 2), share=(3, 2), repeats: int = 2, range_rows: int = 512, with_columns=("doc_id",), shuffle_by=("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, size: Column, source: Column, seed: int = 7, weights=(3, 1, 2), share=(3, 2), repeats: int = 2, range_rows: int = 512, hot: int = 64, with_columns=("doc_id",), shuffle_by=("doc_id",)) -> DataFrame:
     """docs with size, source_size, target, taken and the virtual finish times.
 
     Returns the columns named in with_columns plus size, source_size, target,
@@ -82,25 +82,29 @@ def mix(docs: DataFrame, size: Column, source: Column, seed: int = 7, weights=(3
     base = docs.select(*kept, size.alias(f"{P}size"), source.alias(f"{P}source"))
     # The place of a document in its source's shuffle; equal places fall back on size.
     base = base.withColumn(f"{P}h", F.xxhash64(*[F.col(f"`{c}`") for c in shuffle_by], F.lit(seed)))
-    base = stored(base, "mix-base")
+    # Numbers tell apart rows that repeat each other; they are stored, so they stay.
+    base = stored(base.withColumn(f"{P}n", F.monotonically_increasing_id()), "mix-base")
     n = base.count()
     ranges = max(1, min(1 << 20, 1 << max(0, (n // range_rows).bit_length())))
     base = base.withColumn(f"{P}r", F.shiftrightunsigned(f"{P}h", 64 - (ranges.bit_length() - 1)) if ranges > 1 else F.lit(0).cast("bigint"))
     # First level: sums by source and range, then running sums over the ranges of a source.
-    by_range = base.groupBy(f"{P}source", f"{P}r").agg(F.sum(f"{P}size").alias(f"{P}sum"))
+    by_range = base.groupBy(f"{P}source", f"{P}r").agg(F.sum(f"{P}size").alias(f"{P}sum"), F.count("*").alias(f"{P}rows"))
     before = W.partitionBy(f"{P}source").orderBy(f"{P}r").rowsBetween(W.unboundedPreceding, -1)
     by_range = by_range.withColumn(f"{P}before", F.coalesce(F.sum(f"{P}sum").over(before), F.lit(0)).cast("bigint"))
     sizes = base.groupBy(f"{P}source").agg(F.sum(f"{P}size").alias("source_size")).withColumnRenamed(f"{P}source", "source")
     targets = source_targets(sizes, weights, share, repeats).withColumnRenamed("source", f"{P}source2")
     by_range = by_range.join(targets, F.col(f"{P}source").eqNullSafe(F.col(f"{P}source2"))).drop(f"{P}source2", f"{P}sum")
-    by_range = by_range.select(F.col(f"{P}source").alias(f"{P}s2"), F.col(f"{P}r").alias(f"{P}r2"), f"{P}before", F.col("source_size").alias(f"{P}total"), F.col("target").alias(f"{P}target"))
+    by_range = by_range.select(F.col(f"{P}source").alias(f"{P}s2"), F.col(f"{P}r").alias(f"{P}r2"), f"{P}before", f"{P}rows", F.col("source_size").alias(f"{P}total"), F.col("target").alias(f"{P}target"))
+    by_range = stored(by_range, "mix-ranges")
     # Second level: rows of one range of one source, about range_rows of them.
-    local = W.partitionBy(f"{P}source", f"{P}r").orderBy(f"{P}h", f"{P}size").rowsBetween(W.unboundedPreceding, 0)
-    rows = (
-        base.withColumn(f"{P}local", F.sum(f"{P}size").over(local))
-        .join(by_range, F.col(f"{P}source").eqNullSafe(F.col(f"{P}s2")) & (F.col(f"{P}r") == F.col(f"{P}r2")))
-        .withColumn(f"{P}cum", F.col(f"{P}before") + F.col(f"{P}local"))
-    )
+    placed = base.join(by_range, F.col(f"{P}source").eqNullSafe(F.col(f"{P}s2")) & (F.col(f"{P}r") == F.col(f"{P}r2")))
+    crowded = F.col(f"{P}rows") > hot * range_rows
+    local = W.partitionBy(f"{P}source", f"{P}r").orderBy(f"{P}h", f"{P}size", f"{P}n").rowsBetween(W.unboundedPreceding, 0)
+    if by_range.where(crowded).isEmpty():
+        rows = placed.withColumn(f"{P}local", F.sum(f"{P}size").over(local))
+    else:
+        rows = placed.where(~crowded).withColumn(f"{P}local", F.sum(f"{P}size").over(local)).unionByName(_crowd(placed.where(crowded), range_rows))
+    rows = rows.withColumn(f"{P}cum", F.col(f"{P}before") + F.col(f"{P}local"))
     ends = [F.col(f"{P}cum") + F.lit(e) * F.col(f"{P}total") for e in range(repeats)]
     finish = F.array(*[F.when(F.col(f"{P}target") > 0, x / F.col(f"{P}target")) for x in ends])
     rows = stored(rows.select(*kept, f"{P}source", f"{P}size", f"{P}h", f"{P}total", f"{P}target", finish.alias(f"{P}finish")), "mix-finish")
@@ -130,6 +134,23 @@ def mix(docs: DataFrame, size: Column, source: Column, seed: int = 7, weights=(3
     )
 
 
+def _crowd(rows: DataFrame, range_rows: int) -> DataFrame:
+    """Running sums in ranges that rows with one id crowd: rows of one hash and
+    size are interchangeable, so each chunk of their numbers is one entry of the
+    running sum, and a row's place within its chunk tells the rest."""
+    keys = [f"{P}source", f"{P}r", f"{P}h", f"{P}size", f"{P}chunk"]
+    rows = rows.withColumn(f"{P}chunk", F.floor(F.col(f"{P}n") / range_rows).cast("bigint"))
+    entries = rows.groupBy(*keys).agg((F.count("*") * F.col(f"{P}size")).alias("words"))
+    before = W.partitionBy(f"{P}source", f"{P}r").orderBy(*keys[2:]).rowsBetween(W.unboundedPreceding, -1)
+    entries = entries.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0))).select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(keys)], "ahead")
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(f"{P}n"))
+    same = F.lit(True)
+    for k, c in enumerate(keys):
+        same = same & (F.col(c).eqNullSafe(F.col(f"__{k}")) if k == 0 else F.col(c) == F.col(f"__{k}"))
+    found = rows.withColumn(f"{P}nth", nth).join(entries, same)
+    return found.withColumn(f"{P}local", F.col("ahead") + F.col(f"{P}nth") * F.col(f"{P}size")).drop("ahead", f"{P}nth", f"{P}chunk", *[f"__{k}" for k in range(len(keys))])
+
+
 def _cut(rows: DataFrame, share, repeats: int, pieces: int = 4096) -> tuple[float, int] | None:
     """Where the global order of finish times passes the budget: the finish
     time of the copy that crosses it and the words of that copy that fit.
