@@ -4,9 +4,11 @@ tables written there to cut lineage, and salts for hot keys."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import sys
 import tempfile
+import threading
 import uuid
 
 from pyspark import cloudpickle
@@ -21,6 +23,10 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Has a finished query's shuffle files deleted at once instead of when the JVM happens to collect its plan.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_LOCK = threading.Lock()
+#: By session: how many tables it is writing, and what CLEANUP was before.
+_WRITING: dict[int, tuple[int, str | None]] = {}
+
 # Functions of this package travel by value, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
@@ -53,16 +59,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     nothing reads what was shuffled for it, so Spark is asked to delete that."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_go(spark):
         df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """CLEANUP for the session; with several threads, until the last of them is done."""
+    with _LOCK:
+        n, before = _WRITING.get(id(spark), (0, None))
+        if not n:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _WRITING[id(spark)] = n + 1, before
+    try:
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _LOCK:
+            n, before = _WRITING.pop(id(spark))
+            if n > 1:
+                _WRITING[id(spark)] = n - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    path = getattr(made, "_stored_at", None)
+    if path is not None:
+        jvm = made.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(made.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def salts(rows: int, per_group: int = 512, most: int = 65536) -> int:
