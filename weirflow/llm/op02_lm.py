@@ -1,27 +1,35 @@
 """N-gram scoring with a log-frequency Bloom filter.
 
-Training tokens are counted as words and as pairs (a token after the one before
-it; a document starts after an end). A pair's count is quantised to a level of
-a logarithmic scale and the pair enters the filter once for each level up to
-its own, so a count is read back by probing level after level until one is
-missing; errors are one-sided and rarer with every level. How many different
-tokens follow a token is held the same way. A probability discounts the pair's
-count and gives what that frees to the word's own probability:
-
-    P(w | h) = max(c(hw) - D, 0) / c(h) + D * T(h) / c(h) * P(w)
+Training tokens are counted as words and as n-grams of 2 up to `order` tokens (a
+document starts after an end, and no n-gram reaches further back). An n-gram's
+count is quantised to a level of a logarithmic scale and the n-gram enters the
+filter once for each level up to its own, so a count is read back by probing
+level after level until one is missing; errors are one-sided and rarer with
+every level. Probabilities discount an n-gram's count and give what that frees
+to the shorter history:
+
+    P(w | h) = max(c(hw) - D, 0) / C(h) + D * C(h)^(b - 1) * P(w | h less its first token)
     P(w) = (c(w) - D1) / N, or D1 * V / N for all words not in training together
 
-with D and D1 from the numbers of counts 1 and 2. Levels read back as their
-lower ends, so probabilities do not add up to more than 1 but for false hits.
+D comes from the numbers of counts 1 and 2, by order. C(h)^b stands for how many
+different tokens follow a history: b is the power at which these add up, over
+all histories, to the n-grams there are. Words are counted exactly. Levels of
+n-grams read back as their lower ends and of histories as their upper ends, so
+quantising alone makes no probability greater.
 
 Documents are held in batches of about `batch_tokens` tokens as numbers into
-the batch's own sorted list of word hashes. Every batch sends its counts, range
-of hashes by range, to be added up and gets the totals back in its own order:
-counts are exact, a common word is one number a batch, and no task sees more
-than its range. Pairs are counted in the same way by ranges of the first token.
-Each range fills its own segment of the filter. Segments are broadcast in
-shards of at most `shard_bytes`, one after another if there are more; a token's
-probability needs one segment only, so each shard adds its tokens' part.
+the batch's own sorted list of word hashes. Every batch sends its counts of
+words, range of hashes by range, to be added up and gets the totals back in its
+own order: a common word is one number a batch, and no task sees more than its
+range. N-grams go the same way by ranges of their own hashes, so the n-grams
+after a frequent word are spread like all others. Each range fills its own
+segment of the filter.
+
+A filter of n training tokens has at most n * (order - 1) * BITS_EACH bits (a
+count of c has at most c levels). Where that bound is within `broadcast_bytes`,
+the segments are broadcast and probed where the batches are. Beyond it no filter
+is sent anywhere: each range probes its segment for all batches at once and
+returns the levels in each batch's order. Both give the same scores.
 
 Defined results: a null text has the end token only; repeated rows are scored
 (and count in training) one by one; an id of null counts as empty text for the
@@ -45,10 +53,12 @@ from .common import crc_mod, stored, table
 
 #: The end of a document as a token.
 END = np.uint64(0xE7037ED1A0B428DB)
-HASHES, BITS_EACH = 6, 10
-#: Lower ends of the levels: whole numbers growing by about half.
-LEVELS = np.unique(np.floor(1.5 ** np.arange(64)).astype(np.int64))
+HASHES, BITS_EACH = 4, 10
+#: Lower ends of the levels: whole numbers growing by about half; from level 1 on.
+LEVELS = np.append(0, np.unique(np.floor(1.5 ** np.arange(64)).astype(np.int64)))
+UPPER = np.append(LEVELS[1:] - 1, LEVELS[-1])
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,33 +67,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * C1 + (word & np.uint64(0xFFFFFFFF)))
-
-
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    """The number of levels that a count reaches, from 1 for counts of 1."""
-    return np.searchsorted(LEVELS, counts, "right")
-
-
-def salt(level: int) -> np.uint64:
-    return np.uint64(level * int(C2) & (1 << 64) - 1)
+    """The number of levels that a count reaches, 1 for counts of 1."""
+    return np.searchsorted(LEVELS, counts, "right") - 1
 
 
-def places(keys: np.ndarray, level: int, sizes: np.ndarray):
-    """The HASHES bits of (key, level) in segments of the given sizes."""
-    h = mix(keys + salt(level))
-    step = (h >> np.uint64(33)) | np.uint64(1)
+def places(keys: np.ndarray, level: int, sizes):
+    """The HASHES bits of (key, level) in segments of the given sizes. Keys are
+    32 bits: a segment has those of one range, which tells the rest."""
+    h = mix(keys.astype(np.uint64) + np.uint64(level * int(C2) & (1 << 64) - 1))
+    step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(HASHES):
-        yield (h + np.uint64(i) * step) % sizes
+        yield (((h + np.uint64(i) * step) & LOW) * sizes) >> np.uint64(32)
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A segment that holds the keys' quantised counts."""
+    """A segment that holds the keys' quantised counts, all at least 1."""
     level = levels_of(counts)
     size = np.uint64(max(64, -(-int(level.sum()) * BITS_EACH // 64) * 64))
     bits = np.zeros(int(size), np.uint8)
@@ -94,30 +97,28 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """Segments `first` up to `last` of the filter over `ranges` ranges."""
+    """Segments of the filter, one after another."""
 
-    def __init__(self, segments: bytes, sizes: list[int], first: int, ranges: int):
+    def __init__(self, segments: bytes, sizes: list[int]):
         self.bits = np.frombuffer(segments, np.uint8)
         self.sizes = 8 * np.array(sizes, np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
-        self.first, self.last, self.ranges = first, first + len(sizes), ranges
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def counts(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Counts as lower ends of the levels found by probing; 0 if none."""
-        level = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Levels found by probing, 0 if none."""
+        level = np.zeros(len(keys), np.uint8)
         alive = np.arange(len(keys))
-        for k in range(1, len(LEVELS) + 1):
+        for k in range(1, len(LEVELS)):
             size, start = self.sizes[segment[alive]], self.starts[segment[alive]]
-            h = mix(keys[alive] + salt(k))
-            step = (h >> np.uint64(33)) | np.uint64(1)
-            for i in range(HASHES):
-                at = (h + np.uint64(i) * step) % size + start
-                ok = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, h, step, size, start = alive[ok], h[ok], step[ok], size[ok], start[ok]
+            found = np.ones(len(alive), bool)
+            for at in places(keys[alive], k, size):
+                at += start
+                found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive = alive[found]
             if not len(alive):
                 break
             level[alive] = k
-        return np.where(level > 0, LEVELS[np.maximum(level, 1) - 1], 0)
+        return level
 
 
 def batches_of(docs: DataFrame, held_out: Column, doc_id: str, text: str, batch_tokens: int) -> DataFrame:
@@ -173,16 +174,17 @@ def batches_of(docs: DataFrame, held_out: Column, doc_id: str, text: str, batch_
 
 
 def add_up(held: DataFrame, ranges: int) -> DataFrame:
-    """(batch, range, totals, types, ones, twos): training counts over all
-    batches of the batch's words in the range, in the batch's order. The last
-    three, of the range, stand in one of its rows."""
+    """(batch, range, totals, types, ones, twos, levels): training counts over
+    all batches of the batch's words in the range, in the batch's order. The
+    others, of the range, stand in one of its rows; levels says how many words
+    reach each level."""
 
     def send(batches):
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for b, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, hashes, counts in ((c[row].as_py() for c in batch.columns) for row in range(batch.num_rows)):
                 h, c = np.frombuffer(hashes, np.uint64), np.frombuffer(unpack(counts), np.int64)
                 r = range_of(h, ranges)
                 cut = np.flatnonzero(np.diff(r, prepend=r[:1] + np.uint64(1)))
@@ -199,68 +201,104 @@ def add_up(held: DataFrame, ranges: int) -> DataFrame:
         total = np.bincount(at, c).astype(np.int64)
         back, ends = total[at], np.cumsum([len(x) // 8 for x in g["h"]])
         one = np.arange(len(g)) == 0
-        return pd.DataFrame({"batch": g["batch"], "range": g["range"], "totals": [pack(x.tobytes()) for x in np.split(back, ends[:-1])], "types": one * int((total > 0).sum()), "ones": one * int((total == 1).sum()), "twos": one * int((total == 2).sum())})
+        return pd.DataFrame({"batch": g["batch"], "range": g["range"], "totals": [pack(x.tobytes()) for x in np.split(back, ends[:-1])], "types": one * int((total > 0).sum()), "ones": one * int((total == 1).sum()), "twos": one * int((total == 2).sum()), "levels": [np.bincount(levels_of(total[total > 0]), minlength=len(LEVELS)).tolist(), *[None] * (len(g) - 1)]})
 
     sent = held.select("batch", "hashes", "counts").mapInArrow(send, "range bigint, batch bigint, h binary, c binary")
-    return sent.groupBy("range").applyInPandas(meet, "batch bigint, range bigint, totals binary, types bigint, ones bigint, twos bigint")
-
-
-def history(ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `hashes` of the token before each token, and the token's hash."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = int(np.searchsorted(hashes, END))
-    return before, hashes[ids]
-
-
-def segments(held: DataFrame, ranges: int) -> DataFrame:
-    """(range, bits, ones, twos): the filter's segments."""
+    return sent.groupBy("range").applyInPandas(meet, "batch bigint, range bigint, totals binary, types bigint, ones bigint, twos bigint, levels array<bigint>")
+
+
+def grams(ids: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, order: int):
+    """For 2 up to `order` tokens: (hashes of the n-grams that end at each
+    token, whether the token has one). An n-gram starts with the end before the
+    document at the earliest."""
+    word = hashes[ids]
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(ids)) - np.repeat(starts, sizes)
+    key = word
+    for n in range(2, order + 1):
+        before = np.empty_like(key)
+        before[1:] = key[:-1]
+        if n == 2:
+            before[starts] = END
+        key = mix(before * C1 + word)
+        yield key, place >= n - 2
+
+
+def count_grams(held: DataFrame, ranges: int, order: int, probe: bool) -> DataFrame:
+    """By order and range: the segment (bits) with what the model needs to know
+    of all its counts, or if `probe` that and the levels of each batch's n-grams
+    in order of their hashes."""
 
     def send(batches):
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for flags, sizes, raw, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                b, flags, sizes, raw, hashes = (c[row].as_py() for c in batch.columns)
                 sizes, h = np.array(sizes), np.frombuffer(hashes, np.uint64)
-                ids = np.frombuffer(unpack(raw), np.int32)
-                before, word = history(ids, h, sizes)
                 learn = np.repeat(~np.array(flags), sizes)
-                # Words are in order of their hashes, and so are pairs by their first word.
-                pair = before[learn].astype(np.int64) << 32 | (word[learn] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                if not len(pair):
-                    continue
-                pair, n = np.unique(pair, return_counts=True)
-                a = h[pair >> 32]
-                r = range_of(a, ranges)
-                cut = np.flatnonzero(np.diff(r, prepend=r[:1] + np.uint64(1)))
-                end = [*cut[1:], len(pair)]
-                rows = [(int(r[s]), pack(a[s:e].tobytes()), (pair[s:e] & 0xFFFFFFFF).astype(np.uint32).tobytes(), pack(n[s:e].astype(np.uint32).tobytes())) for s, e in zip(cut, end, strict=True)]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["range", "a", "w", "n"])
-
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
+                for n, (key, has) in enumerate(grams(np.frombuffer(unpack(raw), np.int32), h, sizes, order), 2):
+                    has = has if probe else has & learn
+                    key, at = np.unique(key[has], return_inverse=True)
+                    if not len(key):
+                        continue
+                    times = np.bincount(at, learn[has], len(key)).astype(np.uint32)
+                    r = range_of(key, ranges)
+                    cut = np.flatnonzero(np.diff(r, prepend=r[:1] + np.uint64(1)))
+                    end = [*cut[1:], len(key)]
+                    low = (key & LOW).astype(np.uint32)
+                    columns = [r[cut].astype(np.int64), np.full(len(cut), n, np.int32), np.full(len(cut), b)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([low[s:e].tobytes() for s, e in zip(cut, end, strict=True)], pa.binary()), pa.array([pack(times[s:e].tobytes()) for s, e in zip(cut, end, strict=True)], pa.binary())], names=["range", "n", "batch", "keys", "times"])
+
+    def meet(g: pa.Table) -> pa.Table:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        a = np.concatenate([np.frombuffer(unpack(x), np.uint64) for x in g["a"]])
-        w = np.concatenate([np.frombuffer(x, np.uint32) for x in g["w"]]).astype(np.uint64)
-        n = np.concatenate([np.frombuffer(unpack(x), np.uint32) for x in g["n"]])
-        keys, first, at = np.unique(pair_keys(a, w), return_index=True, return_inverse=True)
-        counts = np.bincount(at, n).astype(np.int64)
-        followed, kinds = np.unique(a[first], return_counts=True)
-        bits = build_segment(np.concatenate([keys, mix(followed)]), np.concatenate([counts, kinds]))
-        return pd.DataFrame({"range": g["range"][:1], "bits": [bits], "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum())})
-
-    sent = held.select("held", "sizes", "ids", "hashes").mapInArrow(send, "range bigint, a binary, w binary, n binary")
-    return sent.groupBy("range").applyInPandas(meet, "range bigint, bits binary, ones bigint, twos bigint")
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        sent = [np.frombuffer(x.as_py(), np.uint32) for x in g.column("keys")]
+        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([np.frombuffer(unpack(x.as_py()), np.uint32) for x in g.column("times")])).astype(np.int64)
+        own = counts > 0
+        bits = build_segment(keys[own], counts[own])
+        levels = np.bincount(levels_of(counts[own]), minlength=len(LEVELS))
+        stats = {"bits": len(bits), "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum()), "kinds": int(own.sum()), "levels": levels.tolist()}
+        batch, answer = [-1], [bits]
+        if probe:
+            found = Filter(bits, [len(bits)]).levels(keys, np.zeros(len(keys), np.int64))[at]
+            batch, answer = [-1, *g.column("batch").to_pylist()], [b"", *(pack(x.tobytes()) for x in np.split(found, np.cumsum([len(x) for x in sent])[:-1]))]
+        rest = len(batch) - 1
+        return pa.table(
+            [pa.array([g.column("n")[0].as_py()] * len(batch), pa.int32()), pa.array([g.column("range")[0].as_py()] * len(batch), pa.int64()), pa.array(batch, pa.int64()), pa.array(answer, pa.binary()), *(pa.array([stats[x], *[0] * rest], pa.int64()) for x in ("bits", "ones", "twos", "kinds")), pa.array([stats["levels"], *[None] * rest], pa.list_(pa.int64()))],
+            names=["n", "range", "batch", "answer", "bits", "ones", "twos", "kinds", "levels"],
+        )
+
+    sent = held.select("batch", "held", "sizes", "ids", "hashes").mapInArrow(send, "range bigint, n int, batch bigint, keys binary, times binary")
+    return sent.groupBy("range", "n").applyInArrow(meet, "n int, range bigint, batch bigint, answer binary, bits bigint, ones bigint, twos bigint, kinds bigint, levels array<bigint>")
 
 
 def discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if ones else 0.5
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", batch_tokens: int = 400_000, range_words: int = 500_000, range_pairs: int = 1_000_000, shard_bytes: int = 48 << 20) -> DataFrame:
+def growth(kinds: int, values: np.ndarray, numbers: np.ndarray) -> float:
+    """The power b at which histories of the given counts have `kinds` different followers in all."""
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        b = (low + high) / 2
+        low, high = (low, b) if float((numbers * np.maximum(values, 1) ** b).sum()) > kinds else (b, high)
+    return (low + high) / 2
+
+
+def probability(counts: np.ndarray, context: np.ndarray, rest: np.ndarray, d: float, b: float) -> np.ndarray:
+    """P(w | h) from c(hw), C(h) and the probability after the shorter history."""
+    c = np.maximum(context, 1).astype(np.float64)
+    found = np.maximum(np.minimum(counts, c) - d, 0) / c + np.minimum(d * c ** (b - 1), 1) * rest
+    return np.where(context > 0, np.minimum(found, 1), rest)
+
+
+def score(
+    docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = 3, batch_tokens: int = 400_000, range_words: int = 500_000, range_grams: int = 1_000_000, broadcast_bytes: int = 64 << 20,
+) -> DataFrame:
     """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. held_out is a condition on the columns of docs."""
     spark = docs.sparkSession
@@ -270,71 +308,76 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     n_all, ranges = int(tokens or 0), max(1, int((words or 0) // range_words))
     totals = stored(add_up(held, ranges), "lm-totals")
     types, ones, twos = (int(x or 0) for x in totals.agg(F.sum("types"), F.sum("ones"), F.sum("twos")).first())
-    parts = max(1, n_all // range_pairs)
-    built = stored(segments(held, parts), "lm-segments")
-    found = {r.range: r for r in built.select("range", F.octet_length("bits").alias("size"), "ones", "twos").collect()}  # a row a range
-    d, d1 = discount(sum(r.ones for r in found.values()), sum(r.twos for r in found.values())), discount(ones, twos)
-    shards, size = [[]], 0
-    for r in range(parts):
-        own = found[r].size if r in found else 8
-        if shards[-1] and size + own > shard_bytes:
-            shards.append([])
-            size = 0
-        shards[-1].append(r)
-        size += own
+    d1 = discount(ones, twos)
+    word_levels = totals.where("levels IS NOT NULL").select(F.posexplode("levels").alias("level", "k")).groupBy("level").agg(F.sum("k").alias("k")).collect()  # a row a level
+    parts = max(1, n_all // range_grams)
+    broadcast = n_all * (order - 1) * BITS_EACH // 8 <= broadcast_bytes
+    counted = stored(count_grams(held, parts, order, not broadcast), "lm-grams")
+    # Of every order: its discount, and the growth of what follows the histories one shorter.
+    known = {r.n: r for r in counted.groupBy("n").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos"), F.sum("kinds").alias("kinds")).collect()}
+    spread = counted.where("levels IS NOT NULL").select("n", F.posexplode("levels").alias("level", "k")).groupBy("n", "level").agg(F.sum("k").alias("k")).collect()  # a row a level
+    numbers = {n: np.zeros(len(LEVELS)) for n in range(1, order + 1)}
+    for r in word_levels:
+        numbers[1][r.level] += r.k
+    for r in spread:
+        numbers[r.n][r.level] += r.k
+    middle = np.sqrt(LEVELS * np.maximum(UPPER, 1.0))
+    model = {n: (discount(known[n].ones, known[n].twos), growth(known[n].kinds, middle, numbers[n - 1])) if n in known else (0.5, 1.0) for n in range(2, order + 1)}
+    shared = None
+    if broadcast:
+        found = {(r.n, r.range): r.answer for r in counted.select("n", "range", "answer").collect()}  # within broadcast_bytes, by the bound above
+        blobs = {}
+        for n in range(2, order + 1):
+            segments = [bytes(found.pop((n, r), bytes(8))) for r in range(parts)]
+            blobs[n] = b"".join(segments), [len(x) for x in segments]
+        shared = spark.sparkContext.broadcast(blobs)
+        del blobs, found
+
     answers = totals.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("range", "totals"))).alias("answers"))  # as many as the batch has words
     joined = held.select("batch", "doc", "held", "sizes", "ids", "hashes").join(answers, "batch")
-    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-
-    def scorer(shared):
-        def run(batches):
-            import zstandard
-
-            unpack = zstandard.ZstdDecompressor().decompress
-            bloom = Filter(*shared.value)
-            for batch in batches:
-                doc_type = batch.schema.field(1).type.value_type
-                for b, doc, flags, sizes, raw, hashes, back in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    sizes, h = np.array(sizes), np.frombuffer(hashes, np.uint64)
-                    starts = np.cumsum(sizes) - sizes
-                    ids = np.frombuffer(unpack(raw), np.int32)
-                    c = np.concatenate([np.frombuffer(unpack(x["totals"]), np.int64) for x in back])
-                    before, word = history(ids, h, sizes)
-                    p_word = np.where(c > 0, (c - d1) / max(n_all, 1), d1 * types / max(n_all, 1)) if n_all else np.ones(len(c))
-                    base_word = np.log10((c + 1) / (n_all + types + 1))
-                    segment = range_of(h, bloom.ranges).astype(np.int64) - bloom.first
-                    here = (segment >= 0) & (segment < bloom.last - bloom.first)
-                    kinds = np.zeros(len(h))
-                    kinds[here] = bloom.counts(mix(h[here]), segment[here])
-                    at = np.flatnonzero(here[before])
-                    p = np.ones(len(ids))
-                    own, c_before = p_word[ids[at]], c[before[at]]
-                    n = np.zeros(len(at))
-                    ask = np.flatnonzero((c_before > 0) & (c[ids[at]] > 0))  # a pair of counted words only can have been counted
-                    n[ask] = bloom.counts(pair_keys(h[before[at[ask]]], word[at[ask]]), segment[before[at[ask]]])
-                    n = np.minimum(n, np.minimum(c_before, c[ids[at]]))
-                    seen = np.maximum(c_before, 1)
-                    rest = np.clip(d * kinds[before[at]] / seen, 0, 1)
-                    p[at] = np.where(c_before > 0, np.minimum(1.0, np.maximum(n - d, 0) / seen + rest * own), own)
-                    sums = [np.add.reduceat(x, starts) for x in ((c[ids] > 0).astype(np.int64), base_word[ids], np.log10(np.maximum(p, 1e-300)))]
-                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(sizes)), pa.array(np.arange(len(sizes), dtype=np.int32)), pa.array(doc, doc_type), pa.array(flags), pa.array(sizes.astype(np.int64)), *map(pa.array, sums)], names=schema.names)
-
-        return run
-
-    results = []
-    for own in shards:
-        bits = {r.range: r.bits for r in built.where(F.col("range").between(own[0], own[-1])).select("range", "bits").collect()}  # shard_bytes at most, or one segment
-        sizes = [len(bits.get(r, bytes(8))) for r in own]
-        blob = b"".join(bits.pop(r, bytes(8)) for r in own)
-        shared = spark.sparkContext.broadcast((blob, sizes, own[0], parts))
-        del bits, blob
-        results.append(joined.mapInArrow(scorer(shared), schema))
-    out = results[0]
-    if len(results) > 1:
-        for more in results[1:]:
-            out = out.unionByName(more)
-        same = [F.first(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
-        out = out.groupBy("batch", "place").agg(*same, F.sum("score").alias("score"))
+    if broadcast:
+        joined = joined.withColumn("grams", F.lit(None).cast("array<struct<n:int,range:bigint,answer:binary>>"))
+    else:
+        returned = counted.where("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "range", "answer"))).alias("grams"))  # as many as the batch has n-grams
+        joined = joined.join(returned, "batch", "left")
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        filters = {n: Filter(*x) for n, x in shared.value.items()} if shared is not None else {}
+        for batch in batches:
+            doc_type = batch.schema.field(1).type.value_type
+            for row in range(batch.num_rows):
+                _, doc, flags, sizes, raw, hashes, back, returned = (c[row].as_py() for c in batch.columns)
+                sizes, h = np.array(sizes), np.frombuffer(hashes, np.uint64)
+                starts = np.cumsum(sizes) - sizes
+                ids = np.frombuffer(unpack(raw), np.int32)
+                c = np.concatenate([np.frombuffer(unpack(x["totals"]), np.int64) for x in back])
+                p = (np.where(c > 0, (c - d1) / max(n_all, 1), d1 * types / max(n_all, 1)) if n_all else np.ones(len(c)))[ids]
+                base_word = np.log10((c + 1) / (n_all + types + 1))
+                end = np.searchsorted(h, END)
+                context = c[np.append(end, ids[:-1])]
+                context[starts] = c[end]
+                for n, (key, has) in enumerate(grams(ids, h, sizes, order), 2):
+                    key, at = np.unique(key[has], return_inverse=True)
+                    if returned is not None or not filters:
+                        own = [np.frombuffer(unpack(x["answer"]), np.uint8) for x in returned or () if x["n"] == n]
+                        level = np.concatenate(own) if own else np.zeros(0, np.uint8)
+                    else:
+                        level = filters[n].levels(key & LOW, range_of(key, parts).astype(np.int64))
+                    level = level[at]
+                    p[has] = probability(LEVELS[level], context[has], p[has], *model[n])
+                    # The history of the next token, one longer.
+                    upper = np.zeros(len(ids), np.int64)
+                    upper[has] = UPPER[level] * (level > 0)
+                    context = np.append(0, upper[:-1])
+                    context[starts] = 0
+                sums = [np.add.reduceat(x, starts) for x in ((c[ids] > 0).astype(np.int64), base_word[ids], np.log10(np.maximum(p, 1e-300)))]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, doc_type), pa.array(flags), pa.array(sizes.astype(np.int64)), *map(pa.array, sums)], names=schema.names)
+
+    out = joined.mapInArrow(run, schema)
     return out.select(F.col("doc_id").alias(doc_id), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
