@@ -97,6 +97,20 @@ def discard(made: DataFrame) -> None:
         at.getFileSystem(made.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def release() -> None:
+    """Give back what a task no longer needs: worker processes live on, and the
+    next stage's workers share the machine with them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def salts(rows: int, per_group: int = 512, most: int = 65536) -> int:
     """How many salts deal `rows` rows of one key into groups of about
     per_group rows (more only beyond per_group * most rows of one key)."""

@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import row_salt, salts, stored, table
+from .common import release, row_salt, salts, stored, table
 
 CAPACITY = 1024
 END = 0
 #: Bytes of ids that a batch of pieces holds before it is sent on.
 HELD = 16 << 20
+#: Rows that are taken from a batch at once.
+SLICE = 1024
 
 
 #: Classes of bytes: other, ASCII letters, digits and signs; first bytes of characters that may be white space; blank or line feed; other white space.
@@ -156,7 +158,7 @@ class BlockTokenizer:
     `tokenizers` with any other file.
     """
 
-    def __init__(self, path: str, block: int = 8 << 20):
+    def __init__(self, path: str, block: int = 4 << 20):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -273,7 +275,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
 
         encode = BlockTokenizer(tokenizer_path)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        # A few rows at a time: memory follows the block and the longest text, not the batch.
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             at, columns, held = [], [[] for _ in range(6)], 0
             for k, ids in enumerate(encode(batch.column(1))):
                 raw = ids.tobytes() + END.to_bytes(4, "little")
@@ -294,6 +297,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
                     yield batch_of(batch.column(0), at, columns)
                     at, columns, held = [], [[] for _ in range(6)], 0
             yield batch_of(batch.column(0), at, columns)
+        release()
 
     def batch_of(ids, at, columns):
         found = [ids.take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:5])]

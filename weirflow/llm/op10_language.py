@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import crc_mod, table
+from .common import crc_mod, release, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -238,6 +238,7 @@ def identify(docs: DataFrame, scorer: Scorer | None, text: str = "text", keep=("
             if group:
                 settle()
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        release()
 
     scored = docs.select(*[F.col(f"`{c}`") for c in keep], found(F.col(f"`{text}`").cast("binary")).alias("__found"))
     return scored.select(*[F.col(f"`{c}`") for c in keep], "__found.lang_pred", "__found.score")
