@@ -230,6 +230,16 @@ def plain_targets(sizes):
     return target
 
 
+def test_mixing_of_rows_with_one_id(spark):
+    """A third of the rows are one document: no task gets them all, and sums are those of rows apart."""
+    rows = [(5, 4, "a")] * 3000 + [(k, 1 + k % 7, "ab"[k % 2]) for k in range(100, 6000)] + [(None, 2, "b")] * 700
+    df = spark.createDataFrame(rows, "doc_id bigint, size bigint, source string")
+    run = lambda **kw: sorted((r.doc_id is None, r.doc_id or 0, r.size, r.taken, r.target, tuple(r.finish)) for r in mixing.mix(df, F.col("size"), F.col("source"), **kw).collect())
+    apart, crowd = run(hot=1 << 20), run(hot=2, range_rows=64)
+    assert len(crowd) == len(rows) and crowd == apart
+    assert run(hot=2, range_rows=64) == crowd
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(6)
     names = ["b", "a", None, "Z", "é", "hot"]

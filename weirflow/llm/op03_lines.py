@@ -1,23 +1,28 @@
 """Fuzzy line deduplication: MinHash, banding, exact verification, union-find.
 
-DataFrame functions only. Lines are trimmed and lower-cased; equal lines share a
-64-bit key and are one line from there on. A line's character shingles are its
+DataFrame functions only. Lines are trimmed and lower-cased; equal lines share
+128 bits and are one line from there on. A line's character shingles are its
 windows of `SHINGLE` characters. The signature hashes all of them and takes the
-least under 32 permutations, xor with fixed numbers; 8 bands of 4 make 8 band
-keys. Lines that share a band key first meet the least and the
-greatest line of that key, so a group of n lines gives 2 n candidates; those of
-a group that are then in different components meet each other too. Thus the
-components are those of all pairs that share a band, and near copies cost no
-square of their number; n lines that share a band and are not alike do.
-Candidates are verified by the exact Jaccard similarity of all their windows,
-and distributed union-find joins what passes. Of each component the line first
-in order of (doc_id, place) stays; the others leave their documents.
-
-The shingles of a line are exploded and combined again before any shuffle, so
-what is shuffled is a row per line; a line that fills a third of the corpus is
-one row per task. Texts are shuffled for verification and for rewriting only
-where they are needed: bitmaps of fixed size (`BITS`, broadcast) tell most other
-rows apart, and a full bitmap lets more rows through but changes no result.
+least under 21 permutations, xor with fixed numbers; 7 bands of 3 make 7 band
+keys (two lines that are alike at 0.8 share one with probability 0.993, and agree
+in `AGREE` minima or more, as candidates must, with 0.9985). Lines
+that share a band key first meet the least and the greatest line of that key, so
+a group of n lines gives 2 n candidates; those of a group that are then in
+different components meet each other too. Thus the components are those of all
+pairs that share a band, and near copies cost no square of their number; n lines
+that share a band and are not alike do. Candidates are verified by the exact
+Jaccard similarity of all their windows, and distributed union-find joins what
+passes. Of each component the line first in order of (doc_id, place) stays; the
+others leave their documents.
+
+Windows are cut from lines written with four bytes a character, where each is a
+slice at a known place. They are exploded and combined again before any shuffle,
+so what is shuffled is a row per line; a line that fills a third of the corpus
+is one row per task. Graph nodes are the first 64 of a line's bits; of two
+different lines with the same 64 neither is compared with others. Texts are
+shuffled for verification and for rewriting only where they are needed: bitmaps
+of bounded size (`BITS`, broadcast) tell most other rows apart, and a full
+bitmap lets more rows through but changes no result.
 
 What 0.8 means: one character changed inside a line of L characters takes 10
 windows from each side, and (L - 19) / (L + 1) is at least 0.8 from L = 99 on.
@@ -34,28 +39,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import SPACES, stored, table
+from .common import SPACES, discard, stored, table
 from .components import connected_components
 
 SHINGLE = 10
-BANDS, ROWS = 8, 4
-#: Size of a bitmap: 2 ** 22 bits, broadcast as 65 536 longs.
-BITS = 1 << 22
+BANDS, ROWS = 7, 3
+#: Of 21 minima two lines that are alike at 0.8 agree in 16.8 on average, and in fewer than 11 one time in 700.
+AGREE = 11
+#: Least and most bits of a bitmap; the most is broadcast as 2 ** 20 longs.
+BITS = 1 << 22, 1 << 26
 #: Lines to a side of a cell, where lines of one band meet.
 CELL = 512
+#: By how much 32-bit hashes of windows may misjudge a similarity: four windows of 400, where one collides in 10 000 pairs.
+MARGIN = 0.01
 MIX = 0x9E3779B97F4A7C15
 
 
 def _permutations(n: int) -> list[int]:
-    """Numbers to xor hashes with, from a multiplicative sequence, as signed 64-bit numbers."""
+    """Numbers to xor hashes with, from a multiplicative sequence, as signed 32-bit numbers."""
     out = []
     for k in range(1, n + 1):
         x = k * MIX & (1 << 64) - 1
         x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-        x ^= x >> 27
-        out.append(x - (1 << 64) if x >> 63 else x)
+        x = (x ^ x >> 27) >> 32
+        out.append(x - (1 << 32) if x >> 31 else x)
     return out
 
 
@@ -63,20 +71,24 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(SPACES)))
 
 
-def windows(line: Column, size: int = SHINGLE) -> Column:
-    """All windows of a line; the line itself if it is shorter."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.when(F.length(line) <= size, F.array(line)).otherwise(found)
+def wide(line: Column) -> Column:
+    """Four bytes a character: a window is then a slice at a known place, in any script."""
+    return F.encode(line, "UTF-32")
 
 
-def distinct_windows(line: Column) -> Column:
-    return F.array_distinct(F.transform(windows(line), lambda x: F.xxhash64(x)))
+def window_starts(wide_line: Column) -> Column:
+    """Where windows start, in characters; a line shorter than a window is one window."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(wide_line) / 4).cast("int") - SHINGLE))
 
 
-def pieces(line: Column, size: int = SHINGLE, starts: int = 64) -> Column:
-    """Overlapping parts of a line that have each of its windows once; the line itself if it is no longer than a window."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size},{starts + size - 1}}})).{{1,{starts}}}"), F.lit(1))
-    return F.when(F.length(line) <= size, F.array(line)).otherwise(found)
+def window(wide_line: Column, start: Column) -> Column:
+    return F.substring(wide_line, start * 4 + 1, F.lit(4 * SHINGLE))
+
+
+def distinct_windows(line: Column, of=F.xxhash64) -> Column:
+    """Hashes of a line's windows, as an array: for the few lines that are verified."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(found), lambda x: of(x)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -85,129 +97,191 @@ def jaccard(a: Column, b: Column) -> Column:
     return (F.size(a) + F.size(b) - either) / either
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """(word, mask): the bits of all keys' values, at most BITS / 64 rows."""
-    bit = F.pmod(F.xxhash64(key), F.lit(BITS))
-    return keys.groupBy(F.floor(bit / 64).cast("int").alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {BITS}) % 64 as int))")).alias("__mask"))
+def bits_for(n: int) -> int:
+    """16 bits a key, within BITS."""
+    return min(BITS[1], max(BITS[0], 1 << (16 * n).bit_length()))
+
 
+def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(word, mask): the bits of all keys' values, at most BITS[1] / 64 rows; and how many bits there are."""
+    bits = bits_for(keys.count())
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    return keys.groupBy(F.floor(bit / 64).cast("int").alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {bits}) % 64 as int))")).alias("__mask")), bits
 
-def marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+
+def marked(rows: DataFrame, key: str, made: tuple[DataFrame, int]) -> DataFrame:
     """rows with __hit: whether the bitmap has the key. Its size is bounded, so it is broadcast."""
-    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    words, bits = made
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
     rows = rows.withColumns({"__w": F.floor(place / 64).cast("int"), "__b": (place % 64).cast("int")})
-    found = rows.join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
+    found = rows.join(F.broadcast(words), F.col("__w") == F.col("__word"), "left")
     return found.withColumn("__hit", F.coalesce(F.getbit("__mask", "__b") == 1, F.lit(False))).drop("__w", "__b", "__word", "__mask")
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """With the id itself this tells rows apart."""
+    return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+
+
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row for each line with a word: doc, rid (the row), pos, line, key."""
-    rid = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    split = docs.select(F.col(f"`{doc_id}`").alias("doc"), rid.alias("rid"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "raw"))
-    return split.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc", "rid", "pos", normal(F.col("raw")).alias("line")).withColumn("key", F.xxhash64("line"))
+    """One row for each line with a word: doc and rid (the row), pos, line, and
+    key and key2, 128 bits that stand for the line."""
+    split = docs.select(F.col(f"`{doc_id}`").alias("doc"), row_key(doc_id, text).alias("rid"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "raw"))
+    lines = split.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc", "rid", "pos", normal(F.col("raw")).alias("line"))
+    return lines.withColumns({"key": F.xxhash64("line"), "key2": F.xxhash64(F.lit(1), "line")})
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """A row for each different line: key and bands (array of keys)."""
-    parts = lines.select("key", F.explode(pieces(F.col("line"))).alias("piece"))
-    # Windows are cut from pieces: from a whole line each would count its characters from the start.
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("piece") - (SHINGLE - 1)))
-    hashed = parts.select("key", "piece", F.explode(starts).alias("at")).select("key", F.xxhash64(F.substr("piece", F.col("at"), F.lit(SHINGLE))).alias("h"))
-    numbers = _permutations(BANDS * ROWS)
-    # 24 bits are enough for one of four minima: the rows that are shuffled compress to half their size.
-    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(x)), 40).cast("int")).alias(f"m{k}") for k, x in enumerate(numbers)]
-    # Only numbers are gathered here, so this stays a hash aggregation; places are structs, which would have all shingles sorted.
-    grouped = hashed.groupBy("key").agg(*least)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return grouped.select("key", bands.alias("bands"))
+    """A row for each different line: key and sig (array of minima). A key that
+    two different lines share takes no part: those are only ever equal to others."""
+    each = lines.select("key", "key2", wide(F.col("line")).alias("w"))
+    each = each.select("key", "key2", "w", F.explode(window_starts(F.col("w"))).alias("at"))
+    hashed = each.select("key", "key2", F.hash(window(F.col("w"), F.col("at"))).alias("h"))
+    # Only numbers are gathered here, so this stays a hash aggregation; places are structs, which would have all windows sorted.
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(_permutations(BANDS * ROWS))]
+    grouped = hashed.groupBy("key").agg(F.min("key2").alias("k"), F.max("key2").alias("k2"), *least).where("k = k2")
+    return grouped.select("key", F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("sig"))
+
+
+def bands_of(sig: Column) -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[sig[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+
+
+def likely(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of keys those whose signatures agree in AGREE minima or more."""
+    both = pairs.join(found.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a").join(found.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
+    return both.where(agreed(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b")
+
+
+def agreed(a: Column, b: Column) -> Column:
+    return sum(((a[k] == b[k]).cast("int") for k in range(BANDS * ROWS)), F.lit(0))
 
 
 def places_of(lines: DataFrame) -> DataFrame:
-    """A row for each different line: key, first and last place."""
-    place = F.struct("doc", "rid", "pos")
-    return lines.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    """A row for each different line: key, key2, its first place and how many it has."""
+    return lines.groupBy("key", "key2").agg(F.min(F.struct("doc", "rid", "pos")).alias("first"), F.count("*").alias("n"))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) of keys those whose windows' Jaccard similarity is at least `similarity`."""
     # Texts travel, not their windows, which are eight times as large; a pair's sets exist in its own row only.
     sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
-    sets = sides.select("a", "b", distinct_windows(F.col("la")).alias("sa"), distinct_windows(F.col("lb")).alias("sb"))
-    # An exploded value is computed once; a plain column would be computed again for each use in the filter.
-    sized = sets.select("a", "b", F.explode(F.array(jaccard(F.col("sa"), F.col("sb")))).alias("similarity"))
+    # An exploded value is computed once; a plain column would be computed again for each use.
+    sets = sides.select("a", "b", F.explode(F.array(F.struct(distinct_windows(F.col("la")).alias("a"), distinct_windows(F.col("lb")).alias("b")))).alias("s"))
+    sized = sets.select("a", "b", F.explode(F.array(jaccard(F.col("s.a"), F.col("s.b")))).alias("similarity"))
     return sized.where(F.col("similarity") >= similarity).select("a", "b")
 
 
-def open_pairs(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each band that could still join two components.
-    A band's lo and hi have met all its members, and members of its most
-    frequent component need not meet each other. Large bands are dealt into
-    cells of about CELL times CELL lines."""
+def open_pairs(members: DataFrame, linked: DataFrame, lines: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of each band that could still join two components and
+    are alike by 32-bit hashes of their windows, but for a margin that collisions
+    of hashes cannot fill. A band's lo and hi have met all its members, and
+    members of its most frequent component need not meet each other. Large bands
+    are dealt into cells of about CELL times CELL lines; a line's windows are
+    found once and go with it to its cells."""
     left = members.where("n > 3 AND key <> lo AND key <> hi").select("key", "band")
     named = left.join(linked.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("component", "key").alias("c"))
     named = stored(named, "open")
     sizes = named.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("most"))
     sizes = sizes.where("n > most.k").select("band", F.col("most.c").alias("most"), F.ceil((F.col("n") - F.col("most.k")) / CELL).cast("int").alias("rows"), F.ceil(F.col("n") / CELL).cast("int").alias("cols"))
-    sized = marked(named, "band", bitmap(sizes, "band")).where("__hit").drop("__hit").join(sizes, "band")
+    sized = stored(marked(named, "band", bitmap(sizes, "band")).where("__hit").drop("__hit").join(sizes, "band"), "open-members")
+    keys = sized.select("key").distinct()
+    few = bitmap(keys, "key")
+    texts = marked(lines.select("key", "line"), "key", few).where("__hit").groupBy("key").agg(F.min("line").alias("line")).join(keys, "key", "left_semi")
+    sets = texts.select("key", distinct_windows(F.col("line"), F.hash).alias("set"))
+    if "sig" in found.columns:
+        sets = sets.join(marked(found.select("key", "sig"), "key", few).where("__hit").drop("__hit"), "key")
+    else:
+        sets = sets.withColumn("sig", F.lit(None).cast("array<int>"))
+    sets = stored(sets, "open-windows")
+    carried = sized.join(sets, "key")
     part = lambda of: F.pmod(F.xxhash64("key", "band"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    few = sized.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"))
-    all_ = sized.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most")
+    few = carried.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"), F.col("set").alias("sa"), F.col("sig").alias("ga"))
+    all_ = carried.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most", F.col("set").alias("sb"), F.col("sig").alias("gb"))
     met = few.join(all_, ["band", "i", "j"]).where("ca <> cb AND (cb = most OR a < b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if "sig" in found.columns:
+        met = met.where(agreed(F.col("ga"), F.col("gb")) >= AGREE)
+    # |A and B| / |A or B| >= s says |A and B| >= s / (1 + s) * (|A| + |B|), with the intersection named once.
+    least = (similarity - MARGIN) / (1 + similarity - MARGIN)
+    near = met.where(F.size(F.array_intersect("sa", "sb")) >= F.lit(least) * (F.size("sa") + F.size("sb")))
+    out = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-pairs")
+    for made in (named, sized, sets):
+        discard(made)
+    return out
 
 
 def similar_lines(lines: DataFrame, found: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(a, b): keys of different lines whose windows' Jaccard similarity is at
-    least `similarity`; their components are those of all pairs that share a band."""
+    least `similarity`; their components are those of all pairs that share a
+    band (and agree in AGREE minima, where found has them)."""
     banded = found.select("key", F.explode("bands").alias("band"))
     groups = stored(banded.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "bands")
     members = stored(marked(banded, "band", bitmap(groups, "band")).where("__hit").drop("__hit").join(groups, "band"), "members")
     pairs = members.select("key", F.explode(F.array("lo", "hi")).alias("other")).where("key <> other")
     pairs = stored(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = marked(lines.select("key", "line"), "key", bitmap(ends, "key")).where("__hit").groupBy("key").agg(F.min("line").alias("line"))
-    texts = stored(texts, "texts")
-    star = stored(alike(pairs, texts, similarity), "star")
-    rest = stored(open_pairs(members, connected_components(star)), "open-pairs")
-    return star.unionByName(alike(rest, texts, similarity))
+    probable = _probable(pairs, found, "star-pairs")
+    texts = _texts(probable, lines)
+    star = stored(alike(probable, texts, similarity), "star")
+    for made in (pairs, probable, texts):
+        discard(made)
+    rest = open_pairs(members, connected_components(star), lines, found, similarity)
+    return star.unionByName(alike(rest, _texts(rest, lines), similarity))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
+def _probable(pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    if "sig" not in found.columns:
+        return pairs
+    return stored(likely(pairs, marked(found.select("key", "sig"), "key", bitmap(_ends(pairs), "key")).where("__hit").drop("__hit")), name)
+
+
+def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines that pairs name, each once."""
+    named = marked(lines.select("key", "line"), "key", bitmap(_ends(pairs), "key")).where("__hit")
+    return stored(named.groupBy("key").agg(F.min("line").alias("line")), "texts")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """docs with text less its repeated lines, and __lines and __dropped: lines
     with a word, and those of them that left."""
-    lines = lines_of(docs, doc_id, text)
-    linked = connected_components(similar_lines(lines, stored(signatures(lines), "bands-of-lines"), similarity)).withColumnRenamed("node", "key")
+    lines = stored(lines_of(docs, doc_id, text), "lines")
     found = stored(places_of(lines), "places")
-    joined = stored(linked.join(found.select("key", "first"), "key"), "linked")
+    one = stored(signatures(lines), "signatures").withColumn("bands", bands_of(F.col("sig")))
+    linked = connected_components(similar_lines(lines, one, similarity)).withColumnRenamed("node", "key")
+    joined = stored(linked.join(found.select("key", "key2", "first"), "key"), "linked")
     firsts = joined.groupBy("component").agg(F.min("first").alias("keeper"))
-    linked = joined.select("key", "component").join(firsts, "component").select("key", "keeper")
-    alone = found.where("first <> last").join(linked.select("key"), "key", "left_anti").select("key", F.col("first").alias("keeper"))
+    linked = joined.select("key", "key2", "component").join(firsts, "component").select("key", "key2", "keeper")
+    alone = found.where("n > 1").join(linked.select("key", "key2"), ["key", "key2"], "left_anti").select("key", "key2", F.col("first").alias("keeper"))
     repeated = stored(linked.unionByName(alone), "repeated")
-    places = marked(lines.select("key", "doc", "rid", "pos"), "key", bitmap(repeated, "key")).where("__hit").drop("__hit")
+    places = marked(lines.select("key", "key2", "doc", "rid", "pos"), "key", bitmap(repeated, "key")).where("__hit").drop("__hit")
     stays = F.struct("doc", "rid", "pos").eqNullSafe(F.col("keeper"))
-    hits = stored(places.join(repeated, "key").select("rid", "pos", stays.alias("stays")), "hits")
-    dropped = hits.where("NOT stays").select("rid", "pos")
+    hits = stored(places.join(repeated, ["key", "key2"]).select("doc", "rid", "pos", stays.alias("stays")), "hits")
     # Rows that are equal in id and text have places in common: a place seen twice marks them.
-    twice = F.max(F.when(F.col("n") > 1, F.lit(True)).otherwise(F.lit(False)))
-    kept_twice = hits.where("stays").groupBy("rid", "pos").agg(F.count("*").alias("n")).where("n > 1")
-    out = dropped.groupBy("rid", "pos").agg(F.count("*").alias("n")).groupBy("rid").agg(F.collect_list("pos").alias("drop"), twice.alias("again"))
-    again = kept_twice.groupBy("rid").agg(F.lit(True).alias("kept_again"))
-    out = out.join(again, "rid", "full").select(F.col("rid").alias("__rid2"), F.coalesce("drop", F.array().cast("array<int>")).alias("__drop"), (F.coalesce("again", F.lit(False)) | F.coalesce("kept_again", F.lit(False))).alias("__again"))
-    out = stored(out, "dropped")
+    counted = hits.groupBy("doc", "rid", "pos").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays")
+    out = counted.groupBy("doc", "rid").agg(F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("__drop"), F.max(F.col("n") > 1).alias("__again"))
+    out = stored(out.select(F.col("doc").alias("__doc2"), F.col("rid").alias("__rid2"), "__drop", "__again"), "dropped")
 
     names = docs.columns
-    body = F.split(F.col(f"`{text}`"), "\n", -1)
-    rows = docs.withColumn("__rid", F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    rows = marked(rows, "__rid", bitmap(out, "__rid2"))
-    worded = lambda parts: F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
     own = [F.col(f"`{c}`") for c in names]
-    untouched = rows.where(~F.col("__hit")).select(*own, worded(body).alias("__lines"), F.lit(0).alias("__dropped"))
-    touched = rows.where("__hit").join(out, F.col("__rid") == F.col("__rid2"), "left")
-    once = touched.where(~F.coalesce("__again", F.lit(False))).withColumn("__turn", F.lit(1))
-    more = touched.where(F.coalesce("__again", F.lit(False))).withColumn("__turn", F.row_number().over(W.partitionBy("__rid").orderBy(F.lit(0))))
-    both = once.unionByName(more).withColumn("__body", body)
+    worded = lambda parts: F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
+    rows = marked(docs.withColumn("__rid", row_key(doc_id, text)), "__rid", bitmap(out, "__rid2"))
+    # One match a line with a word: from its first character of a word to its end.
+    lines_in = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0))
+    untouched = rows.where(~F.col("__hit")).select(*own, lines_in.alias("__lines"), F.lit(0).alias("__dropped"))
+    touched = rows.where("__hit").join(out, (F.col("__rid") == F.col("__rid2")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc2")), "left").drop("__rid2", "__doc2")
+    again = F.coalesce("__again", F.lit(False))
+    once = touched.where(~again).withColumn("__later", F.lit(False))
+    # Rows that are equal in id and text: the one with the least number keeps what stays. Numbers are stored, so they are no others when a part is computed again.
+    more = stored(touched.where(again).withColumn("__n", F.monotonically_increasing_id()), "repeated-rows")
+    first = more.groupBy(F.col(f"`{doc_id}`").alias("__d"), "__rid").agg(F.min("__n").alias("__n")).select("__n", F.lit(True).alias("__first"))
+    more = more.join(first, "__n", "left").withColumn("__later", F.col("__first").isNull())
+    both = once.unionByName(more.select(*once.columns)).withColumn("__body", F.split(F.col(f"`{text}`"), "\n", -1))
     # A later copy of a row keeps only its lines without a word.
-    left = F.filter("__body", lambda x, i: F.when(F.col("__turn") > 1, ~x.rlike(r"[^\x20\x09-\x0D]")).otherwise(~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), i)))
+    left = F.filter("__body", lambda x, i: F.when(F.col("__later"), ~x.rlike(r"[^\x20\x09-\x0D]")).otherwise(~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), i)))
     both = both.withColumn("__left", left)
     fresh = [F.array_join("__left", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in names]
     fixed = both.select(*fresh, worded(F.col("__body")).alias("__lines"), (worded(F.col("__body")) - worded(F.col("__left"))).alias("__dropped"))
