@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -113,10 +114,16 @@ class Runtime:
             self.configure(g)
 
     def _held(self, key: str, s: TokenStream) -> TokenStream:
-        """State as a table, so that plans do not grow from run to run. With a folder it outlives the session."""
+        """State as a table, so that plans do not grow from run to run: in the
+        folder given, where it outlives the session, or in the one that the
+        session's machines share. Only where there is neither it goes through
+        the driver, as many tokens as the delay holds."""
         if self.folder is None:
-            rows = s.df.collect()  # a delay's size, which the graph states
-            return TokenStream(self.spark.createDataFrame(rows, s.df.schema))
+            shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            if shared:
+                self.folder = f"{shared.rstrip('/')}/weirflow-state-{uuid.uuid4().hex}"
+        if self.folder is None:
+            return TokenStream(self.spark.createDataFrame(s.df.collect(), s.df.schema))
         path = f"{self.folder}/{key}/{self.steps}"
         s.df.write.parquet(path)
         return TokenStream(self.spark.read.parquet(path))
