@@ -224,17 +224,14 @@ def test_trace_replay_and_endless_runs(spark, caplog):
     assert quiet.run({"in": s}) is not quiet.run({"in": s}) and not quiet.trace
 
 
-def test_state_goes_to_the_shared_folder(spark, tmp_path):
+def test_state_goes_to_the_shared_folder(spark, tmp_path, monkeypatch):
     g = Graph("g")
     source, out = g.add("extern_in", "in", 0, 1), g.add("extern_out", "out", 1, 0)
     g.persistent_delay(g.edge(source, 0, 2, out, 0, 2), 1)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        run = Runtime(g, spark)
-        assert [collected(run.run({"in": counting(spark, 2)}).outputs["out"]) for _ in range(2)] == [[0, 0], [1, 0]]
-        assert len(os.listdir(tmp_path)) == 1
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr("weirflow.plans.runtime.shared_folder", lambda _: f"file://{tmp_path}")
+    run = Runtime(g, spark)
+    assert [collected(run.run({"in": counting(spark, 2)}).outputs["out"]) for _ in range(2)] == [[0, 0], [1, 0]]
+    assert len(os.listdir(tmp_path)) == 1
 
 
 def test_persistent_state_is_never_replayed(spark):

@@ -18,6 +18,11 @@ from weirflow.plans.lower import Lowered, lower
 log = logging.getLogger("weirflow")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the session's machines share, if it names one."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+
 @dataclass
 class Options:
     """What a runtime does besides running: keep a trace, say what it does, use
@@ -119,7 +124,7 @@ class Runtime:
         session's machines share. Only where there is neither it goes through
         the driver, as many tokens as the delay holds."""
         if self.folder is None:
-            shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            shared = shared_folder(self.spark)
             if shared:
                 self.folder = f"{shared.rstrip('/')}/weirflow-state-{uuid.uuid4().hex}"
         if self.folder is None:
