@@ -6,6 +6,7 @@ import math
 import os
 import re
 import zlib
+from pathlib import Path
 from types import SimpleNamespace
 
 import duckdb
@@ -24,6 +25,7 @@ from weirflow.llm import op04_toxicity as tox
 from weirflow.llm import op08_rules as rules
 from weirflow.llm import op10_language as lang
 from weirflow.llm import registry
+from weirflow.llm.common import shared_dir
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -353,6 +355,16 @@ def test_line_dedup_of_repeated_rows(spark):
     assert ln.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_deletes_what_nothing_reads(spark):
+    """Of the tables it writes only those stay that the result reads, and links; no copy of the texts."""
+    made = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:"), "weirflow").glob("*")}
+    before = made()
+    out = ln.line_dedup(docs(spark, [(1, "same line\nown line"), (2, "same line\nanother"), (3, "same line.")]))
+    left = {x.rpartition("-")[0] for x in made() - before}
+    assert "dropped" in left and left <= {"dropped", "repeated-rows", "edges", "star", "open-alike"}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "same line\nown line", 2: "another", 3: "same line."}
+
+
 def test_line_dedup_plan_is_native(spark, sf):
     df = ln.signatures(ln.lines_of(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -77,18 +77,22 @@ def wide(line: Column) -> Column:
 
 
 def window_starts(wide_line: Column) -> Column:
-    """Where windows start, in characters; a line shorter than a window is one window."""
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(wide_line) / 4).cast("int") - SHINGLE))
+    """Where windows start, in bytes from 1; a line shorter than a window is one window."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(wide_line) - (4 * SHINGLE - 1)), F.lit(4))
 
 
 def window(wide_line: Column, start: Column) -> Column:
-    return F.substring(wide_line, start * 4 + 1, F.lit(4 * SHINGLE))
+    return F.substring(wide_line, start, F.lit(4 * SHINGLE))
+
+
+def windows(line: Column, of=F.xxhash64) -> Column:
+    """Hashes of a line's windows, as an array."""
+    # The array of one value has the line written wide once, not for each window.
+    return F.transform(F.array(wide(line)), lambda w: F.transform(window_starts(w), lambda at: of(window(w, at))))[0]
 
 
 def distinct_windows(line: Column, of=F.xxhash64) -> Column:
-    """Hashes of a line's windows, as an array: for the few lines that are verified."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(found), lambda x: of(x)))
+    return F.array_distinct(windows(line, of))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -226,7 +230,11 @@ def similar_lines(lines: DataFrame, found: DataFrame, similarity: float = 0.8) -
     for made in (pairs, probable, texts):
         discard(made)
     rest = open_pairs(members, connected_components(star), lines, found, similarity)
-    return star.unionByName(alike(rest, _texts(rest, lines), similarity))
+    texts = _texts(rest, lines)
+    more = stored(alike(rest, texts, similarity), "open-alike")
+    for made in (groups, members, rest, texts):
+        discard(made)
+    return star.unionByName(more)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -249,21 +257,27 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """docs with text less its repeated lines, and __lines and __dropped: lines
     with a word, and those of them that left."""
     lines = stored(lines_of(docs, doc_id, text), "lines")
-    found = stored(places_of(lines), "places")
-    one = stored(signatures(lines), "signatures").withColumn("bands", bands_of(F.col("sig")))
-    linked = connected_components(similar_lines(lines, one, similarity)).withColumnRenamed("node", "key")
+    signed = stored(signatures(lines), "signatures")
+    similar = similar_lines(lines, signed.withColumn("bands", bands_of(F.col("sig"))), similarity)
+    discard(signed)
+    linked = stored(connected_components(similar).withColumnRenamed("node", "key"), "components")
+    again = stored(lines.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1").select("key").unionByName(linked.select("key")).distinct(), "again")
+    places = stored(marked(lines.select("key", "key2", "doc", "rid", "pos"), "key", bitmap(again, "key")).where("__hit").drop("__hit"), "places")
+    discard(lines)
+    found = stored(places_of(places), "firsts")
     joined = stored(linked.join(found.select("key", "key2", "first"), "key"), "linked")
     firsts = joined.groupBy("component").agg(F.min("first").alias("keeper"))
-    linked = joined.select("key", "key2", "component").join(firsts, "component").select("key", "key2", "keeper")
-    alone = found.where("n > 1").join(linked.select("key", "key2"), ["key", "key2"], "left_anti").select("key", "key2", F.col("first").alias("keeper"))
-    repeated = stored(linked.unionByName(alone), "repeated")
-    places = marked(lines.select("key", "key2", "doc", "rid", "pos"), "key", bitmap(repeated, "key")).where("__hit").drop("__hit")
+    keepers = joined.select("key", "key2", "component").join(firsts, "component").select("key", "key2", "keeper")
+    alone = found.where("n > 1").join(keepers.select("key", "key2"), ["key", "key2"], "left_anti").select("key", "key2", F.col("first").alias("keeper"))
+    repeated = stored(keepers.unionByName(alone), "repeated")
     stays = F.struct("doc", "rid", "pos").eqNullSafe(F.col("keeper"))
     hits = stored(places.join(repeated, ["key", "key2"]).select("doc", "rid", "pos", stays.alias("stays")), "hits")
     # Rows that are equal in id and text have places in common: a place seen twice marks them.
     counted = hits.groupBy("doc", "rid", "pos").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays")
     out = counted.groupBy("doc", "rid").agg(F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("__drop"), F.max(F.col("n") > 1).alias("__again"))
     out = stored(out.select(F.col("doc").alias("__doc2"), F.col("rid").alias("__rid2"), "__drop", "__again"), "dropped")
+    for made in (linked, again, places, found, joined, repeated, hits):
+        discard(made)
 
     names = docs.columns
     own = [F.col(f"`{c}`") for c in names]
