@@ -422,6 +422,52 @@ def test_toxicity(spark):
     assert tox.classify(docs(spark, []), model).count() == 0
 
 
+def test_all_labelled_rows_teach(spark):
+    """A sign that only texts beyond the driver's start hold, and languages and thresholds counted over all rows."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(1200):
+        long, toxic = k % 3 == 0, int(rng.random() < 0.4)
+        w = list(rng.choice(["table", "chair", "window", "garden", "river"], 400 if long else 12))
+        if toxic:
+            w.insert(int(rng.integers(0, len(w))), "zork" if long else "idiot")
+        rows.append((k, " ".join(w), "xx" if long else "en", "s", 1))
+        labels.append((k, toxic))
+    df, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = tox.train(df.where("doc_id < 900"), lab, train_rows=50, train_bytes=1000)
+    again = tox.train(df.where("doc_id < 900").repartition(7), lab, train_rows=50, train_bytes=1000)
+    assert all(np.array_equal(a, b) for a, b in zip(model["net"]["filters"] + [model["net"]["embed"]], again["net"]["filters"] + [again["net"]["embed"]], strict=True))
+    assert model["thresholds"] == again["thresholds"]
+    got = {r.doc_id: r.predicted for r in tox.classify(df.where("doc_id >= 900"), model).collect()}
+    assert np.mean([got[k] == y for k, y in labels[900:] if k % 3 == 0]) > 0.9
+    assert model["languages"]["labels"] == ["en", "xx"]
+    parts = tox.labelled(df, lab, "text", "doc_id", "toxic", "lang").groupBy("aside").count().collect()
+    assert sum(r["count"] for r in parts) == 1200 and len(parts) == 2
+
+
+def test_changes_of_learners_are_averaged(spark):
+    """Three learners against the same steps in one process."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(rng.integers(0, 2)), " ".join(rng.choice(["a", "idiot", "b", "cde"], 8)), "en" if k % 2 else None) for k in range(3 * tox.LEARNER)]
+    df = spark.createDataFrame(rows, "id bigint, y int, text string, lang string")
+    net, squares = tox.Network(2), tox.Network.fresh_squares()
+    counts = tox.refine(df, len(rows), net, squares)
+    words = tox.Words()
+    assert np.array_equal(counts["en"], tox.Languages.counted([words(r[2]) for r in rows], [r[3] for r in rows])["en"])
+    parts = {}
+    for r in df.select("y", "text", F.expr("pmod(xxhash64(id, 2), 3)").alias("l"), F.xxhash64("id", F.lit(3)).alias("h")).orderBy("l", "h").collect():
+        parts.setdefault(r.l, []).append(r)
+    moved, times, dense = np.zeros(net.embed.shape), np.zeros(net.embed.shape[:2]), 0
+    for number, part in parts.items():
+        own, steps = tox.Network(2), np.zeros(net.embed.shape[:2], np.int64)
+        own.fit([words(r.text) for r in part], np.array([r.y for r in part]), epochs=1, rate=1e-3, seed=number, steps=steps)
+        moved += (own.embed - tox.Network(2).embed) * steps[..., None]
+        times += steps
+        dense = dense + own.filters[2] * (len(part) / len(rows))
+    assert np.allclose(net.embed, tox.Network(2).embed + moved / np.maximum(times, 1)[..., None], atol=1e-5)
+    assert np.allclose(net.filters[2], dense, atol=1e-5)
+
+
 def test_languages_are_guessed_by_their_words():
     words = tox.Words()
     texts = {"it": "la casa una strada", "nl": "het huis een straat", "xx": "zu qa ro mi"}
