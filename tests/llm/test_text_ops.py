@@ -365,6 +365,20 @@ def test_line_dedup_deletes_what_nothing_reads(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: "same line\nown line", 2: "another", 3: "same line."}
 
 
+def test_lines_of_open_bands_meet_in_one_band(spark, monkeypatch):
+    """Lines that share three bands are compared in one of them, so no pair is made twice."""
+    text = "the quick brown fox jumps over the lazy dog and runs away through the fields of the old farm until night falls "
+    lines = spark.createDataFrame([(k, text + str(k)) for k in range(1, 9)], "key bigint, line string")
+    found = spark.createDataFrame([(k, [30, 20] if k == 5 else [10, 20, 30]) for k in range(1, 9)], "key bigint, bands array<bigint>")
+    members = found.select("key", F.explode("bands").alias("band"), F.lit(1).alias("lo"), F.lit(8).alias("hi"), F.lit(8).alias("n"))
+    plans, real = {}, ln.stored
+    monkeypatch.setattr(ln, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().nodeName()}) or real(df, name))
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    got = sorted((r.a, r.b) for r in ln.open_pairs(members, none, lines, found, 0.8).collect())
+    assert got == list(itertools.combinations(range(2, 8), 2))
+    assert plans["open-pairs"] == "Project", "pairs are not made first and made different afterwards"
+
+
 def test_line_dedup_plan_is_native(spark, sf):
     df = ln.signatures(ln.lines_of(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -180,7 +180,9 @@ def open_pairs(members: DataFrame, linked: DataFrame, lines: DataFrame, found: D
     """(a, b): the pairs of each band that could still join two components and
     are alike by 32-bit hashes of their windows, but for a margin that collisions
     of hashes cannot fill. A band's lo and hi have met all its members, and
-    members of its most frequent component need not meet each other. Large bands
+    members of its most frequent component need not meet each other. Two lines
+    meet in the least band that they share: if that is not open, or one of them is
+    its lo or hi, they have met or are in one component already. Large bands
     are dealt into cells of about CELL times CELL lines; a line's windows are
     found once and go with it to its cells."""
     left = members.where("n > 3 AND key <> lo AND key <> hi").select("key", "band")
@@ -193,23 +195,22 @@ def open_pairs(members: DataFrame, linked: DataFrame, lines: DataFrame, found: D
     few = bitmap(keys, "key")
     texts = marked(lines.select("key", "line"), "key", few).where("__hit").groupBy("key").agg(F.min("line").alias("line")).join(keys, "key", "left_semi")
     sets = texts.select("key", distinct_windows(F.col("line"), F.hash).alias("set"))
-    if "sig" in found.columns:
-        sets = sets.join(marked(found.select("key", "sig"), "key", few).where("__hit").drop("__hit"), "key")
-    else:
-        sets = sets.withColumn("sig", F.lit(None).cast("array<int>"))
+    sig = F.col("sig") if "sig" in found.columns else F.lit(None).cast("array<int>").alias("sig")
+    sets = sets.join(marked(found.select("key", "bands", sig), "key", few).where("__hit").drop("__hit"), "key")
     sets = stored(sets, "open-windows")
     carried = sized.join(sets, "key")
     part = lambda of: F.pmod(F.xxhash64("key", "band"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    few = carried.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"), F.col("set").alias("sa"), F.col("sig").alias("ga"))
-    all_ = carried.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most", F.col("set").alias("sb"), F.col("sig").alias("gb"))
+    few = carried.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"), F.col("set").alias("sa"), F.col("sig").alias("ga"), F.col("bands").alias("ba"))
+    all_ = carried.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most", F.col("set").alias("sb"), F.col("sig").alias("gb"), F.col("bands").alias("bb"))
     met = few.join(all_, ["band", "i", "j"]).where("ca <> cb AND (cb = most OR a < b)")
     if "sig" in found.columns:
         met = met.where(agreed(F.col("ga"), F.col("gb")) >= AGREE)
+    met = met.where(F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
     # |A and B| / |A or B| >= s says |A and B| >= s / (1 + s) * (|A| + |B|), with the intersection named once.
     least = (similarity - MARGIN) / (1 + similarity - MARGIN)
     near = met.where(F.size(F.array_intersect("sa", "sb")) >= F.lit(least) * (F.size("sa") + F.size("sb")))
-    out = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-pairs")
+    out = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "open-pairs")
     for made in (named, sized, sets):
         discard(made)
     return out
