@@ -379,6 +379,61 @@ def test_lines_of_open_bands_meet_in_one_band(spark, monkeypatch):
     assert plans["open-pairs"] == "Project", "pairs are not made first and made different afterwards"
 
 
+def test_signatures_are_minima_over_all_windows(spark):
+    """Windows are hashed several to a row: lines that end within a row, at its end and in the next have no window less or more."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(0x61, 0x7B, n))) for n in (1, 9, 10, 11, 24, 25, 26, 41, 42, 57, 400)]
+    lines = ln.lines_of(docs(spark, list(enumerate([*texts, texts[3]]))), "doc_id", "text").select("key", "key2", "line")
+    clashing = spark.createDataFrame([(5, 1, "one of two lines"), (5, 2, "the other line")], lines.schema)
+    got = {r.key: r for r in ln.signatures(lines.unionByName(clashing)).collect()}
+    hashed = lines.select("key", "line", F.explode(ln.windows(F.col("line"), F.hash)).alias("h")).collect()
+    for r in hashed:
+        assert got[r.key].many == (r.line == texts[3])
+    for key in {r.key for r in hashed}:
+        assert got[key].sig == [min(r.h ^ x for r in hashed if r.key == key) for x in ln._permutations(21)]
+    assert got[5].sig is None and len(got) == len(texts) + 1
+
+
+def test_minima_of_a_row_are_taken_before_they_are_gathered(spark):
+    """One row for BLOCK windows goes into the aggregation, where each window was a row."""
+    lines = docs(spark, [(0, "x" * 409)]).select(F.col("doc_id").alias("key"), ln.wide(F.col("text")).alias("w"))
+    assert ln.window_hashes(lines, ln.BLOCK, "key").count() == 400 // ln.BLOCK
+
+
+def test_marks_lose_no_alike_lines(spark):
+    """Lines with a few changes, with repeated windows and of any length: who is alike is possible by marks, and most others are not."""
+    rng = np.random.default_rng(6)
+    pairs = []
+    for k in range(150):
+        text = "".join(rng.choice(list("abcdefghij "), int(rng.integers(12, 900)))).strip() or "a"
+        text = text * 3 if k % 10 == 0 else text
+        cut, part = int(rng.integers(len(text))), int(len(text) * rng.choice([0.02, 0.1, 0.2, 0.4]))
+        pairs.append((text, text[:cut] + "".join(rng.choice(list("klmnop"), part)) + text[cut + part // 2 :]))
+    lines = spark.createDataFrame([(2 * k + side, x) for k, two in enumerate(pairs) for side, x in enumerate(two)], "key bigint, line string")
+    made = {r.key: r for r in ln.marks(lines).collect()}
+    rows = [(k, made[2 * k].marks, made[2 * k].n, made[2 * k + 1].marks, made[2 * k + 1].n) for k in range(150)]
+    table = spark.createDataFrame(rows, "k int, ma array<bigint>, na bigint, mb array<bigint>, nb bigint")
+    got = {r.k for r in table.where(ln.possible(F.col("ma"), F.col("na"), F.col("mb"), F.col("nb"), 0.8)).collect()}
+    sets = [[{x[i : i + 10] for i in range(max(1, len(x) - 9))} for x in two] for two in pairs]
+    want = {k for k, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)}
+    assert [made[2 * k].n for k in range(150)] == [max(1, len(a) - 9) for a, _ in pairs]
+    assert want and want <= got and len(got - want) < 0.3 * (150 - len(want))
+
+
+@pytest.mark.parametrize("words", [32, 1])
+def test_pairs_that_marks_cannot_tell_apart_leave_where_they_meet(spark, monkeypatch, words):
+    """Lines with more windows than bits: their windows are compared in the cell, so the texts of such pairs do not travel."""
+    monkeypatch.setattr(ln, "WORDS", words)
+    rng = np.random.default_rng(7)
+    base = "".join(rng.choice(list("abcdefghij "), 3000)).strip()
+    texts = [base, base + " end", base[:1500] + "".join(rng.choice(list("klmnop"), 1500))]
+    lines = spark.createDataFrame([(k, texts[k - 2]) for k in (2, 3, 4)], "key bigint, line string")
+    found = spark.createDataFrame([(k, [10]) for k in (2, 3, 4)], "key bigint, bands array<bigint>")
+    members = found.select("key", F.explode("bands").alias("band"), F.lit(1).alias("lo"), F.lit(8).alias("hi"), F.lit(8).alias("n"))
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    assert [(r.a, r.b) for r in ln.open_pairs(members, none, lines, found, 0.8).collect()] == [(2, 3)]
+
+
 def test_line_dedup_plan_is_native(spark, sf):
     df = ln.signatures(ln.lines_of(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"))
     plan = df._jdf.queryExecution().executedPlan().toString()

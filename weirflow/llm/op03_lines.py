@@ -51,6 +51,10 @@ AGREE = 11
 BITS = 1 << 22, 1 << 26
 #: Lines to a side of a cell, where lines of one band meet.
 CELL = 512
+#: Windows hashed in one row, so that the minima of a row's windows are taken before they are gathered.
+BLOCK = 16
+#: Words of 64 bits that mark a line's windows where lines of one band meet.
+WORDS = 32
 #: By how much 32-bit hashes of windows may misjudge a similarity: four windows of 400, where one collides in 10 000 pairs.
 MARGIN = 0.01
 MIX = 0x9E3779B97F4A7C15
@@ -135,16 +139,45 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return lines.withColumns({"key": F.xxhash64("line"), "key2": F.xxhash64(F.lit(1), "line")})
 
 
+def window_hashes(lines: DataFrame, block: int, *cols: str) -> DataFrame:
+    """32-bit hashes of all windows of the wide lines `w`, `block` of them a row:
+    cols, last (where the last window starts), at (where the first of the row
+    does) and h0, h1, ...; a line's last
+    window fills its last row, so rows say nothing about how often it occurs."""
+    each = lines.select(*cols, "w", F.greatest(F.lit(1), F.octet_length("w") - (4 * SHINGLE - 1)).alias("last"))
+    each = each.select(*cols, "w", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * block))).alias("at"))
+    return each.select(*cols, "last", "at", *[F.hash(window(F.col("w"), F.least(F.col("at") + 4 * k, F.col("last")))).alias(f"h{k}") for k in range(block)])
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """A row for each different line: key and sig (array of minima). A key that
-    two different lines share takes no part: those are only ever equal to others."""
-    each = lines.select("key", "key2", wide(F.col("line")).alias("w"))
-    each = each.select("key", "key2", "w", F.explode(window_starts(F.col("w"))).alias("at"))
-    hashed = each.select("key", "key2", F.hash(window(F.col("w"), F.col("at"))).alias("h"))
+    """A row for each different line: key, many (whether it is there more than
+    once) and sig (array of minima). A key that two different lines share has no
+    sig and takes no part: those are only ever equal to others."""
+    hashed = window_hashes(lines.select("key", "key2", wide(F.col("line")).alias("w")), BLOCK, "key", "key2")
     # Only numbers are gathered here, so this stays a hash aggregation; places are structs, which would have all windows sorted.
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(_permutations(BANDS * ROWS))]
-    grouped = hashed.groupBy("key").agg(F.min("key2").alias("k"), F.max("key2").alias("k2"), *least).where("k = k2")
-    return grouped.select("key", F.array(*[f"m{k}" for k in range(BANDS * ROWS)]).alias("sig"))
+    least = [F.min(F.least(*[F.col(f"h{i}").bitwiseXOR(F.lit(x)) for i in range(BLOCK)])).alias(f"m{k}") for k, x in enumerate(_permutations(BANDS * ROWS))]
+    grouped = hashed.groupBy("key").agg(F.min("key2").alias("k"), F.max("key2").alias("k2"), F.count_if(F.col("at") == 1).alias("n"), *least)
+    return grouped.select("key", (F.col("n") > 1).alias("many"), F.when(F.col("k") == F.col("k2"), F.array(*[f"m{k}" for k in range(BANDS * ROWS)])).alias("sig"))
+
+
+def marks(texts: DataFrame) -> DataFrame:
+    """(key, n, marks): how many windows each line has, repeats included, and the
+    bits of their hashes in WORDS words. A bit that only one of two lines has is
+    a window that only that line has, and another one for each bit."""
+    hashed = window_hashes(texts.select("key", wide(F.col("line")).alias("w")), BLOCK // 2, "key")
+    at = range(BLOCK // 2)
+    each = hashed.select("key", "last", *[F.expr(f"shiftleft(1L, h{i})").alias(f"b{i}") for i in at], *[F.expr(f"shiftrightunsigned(h{i}, 6) % {WORDS}").alias(f"w{i}") for i in at])
+    word = lambda k: F.expr("bit_or(" + " | ".join(f"if(w{i} = {k}, b{i}, 0L)" for i in at) + ")")
+    grouped = each.groupBy("key").agg(F.max("last").alias("last"), *[word(k).alias(f"m{k}") for k in range(WORDS)])
+    return grouped.select("key", F.expr("(last - 1) div 4 + 1").alias("n"), F.array(*[f"m{k}" for k in range(WORDS)]).alias("marks"))
+
+
+def possible(ma: Column, na: Column, mb: Column, nb: Column, similarity: float) -> Column:
+    """Whether lines of these marks and numbers of windows can be alike; no pair
+    that is alike fails. |A and B| / |A or B| >= s says that at most
+    (1 - s) / (1 + s) * (|A| + |B|) windows are in one line only."""
+    apart = F.aggregate(F.zip_with(ma, mb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return apart <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (na + nb)
 
 
 def bands_of(sig: Column) -> Column:
@@ -178,13 +211,13 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def open_pairs(members: DataFrame, linked: DataFrame, lines: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """(a, b): the pairs of each band that could still join two components and
-    are alike by 32-bit hashes of their windows, but for a margin that collisions
-    of hashes cannot fill. A band's lo and hi have met all its members, and
+    are alike by their marks, which tell most pairs apart, and then by 32-bit hashes of their
+    windows, but for a margin that collisions of hashes cannot fill. A band's lo and hi have met all its members, and
     members of its most frequent component need not meet each other. Two lines
     meet in the least band that they share: if that is not open, or one of them is
     its lo or hi, they have met or are in one component already. Large bands
-    are dealt into cells of about CELL times CELL lines; a line's windows are
-    found once and go with it to its cells."""
+    are dealt into cells of about CELL times CELL lines; a line's marks and
+    windows are found once and go with it to its cells."""
     left = members.where("n > 3 AND key <> lo AND key <> hi").select("key", "band")
     named = left.join(linked.withColumnRenamed("node", "key"), "key", "left").select("key", "band", F.coalesce("component", "key").alias("c"))
     named = stored(named, "open")
@@ -194,24 +227,26 @@ def open_pairs(members: DataFrame, linked: DataFrame, lines: DataFrame, found: D
     keys = sized.select("key").distinct()
     few = bitmap(keys, "key")
     texts = marked(lines.select("key", "line"), "key", few).where("__hit").groupBy("key").agg(F.min("line").alias("line")).join(keys, "key", "left_semi")
-    sets = texts.select("key", distinct_windows(F.col("line"), F.hash).alias("set"))
+    texts = stored(texts, "open-texts")
+    sets = marks(texts).join(texts.select("key", distinct_windows(F.col("line"), F.hash).alias("set")), "key")
     sig = F.col("sig") if "sig" in found.columns else F.lit(None).cast("array<int>").alias("sig")
     sets = sets.join(marked(found.select("key", "bands", sig), "key", few).where("__hit").drop("__hit"), "key")
-    sets = stored(sets, "open-windows")
+    sets = stored(sets.select("key", F.struct("sig", "n", "marks", "bands", "set").alias("of")), "open-windows")
     carried = sized.join(sets, "key")
     part = lambda of: F.pmod(F.xxhash64("key", "band"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    few = carried.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"), F.col("set").alias("sa"), F.col("sig").alias("ga"), F.col("bands").alias("ba"))
-    all_ = carried.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most", F.col("set").alias("sb"), F.col("sig").alias("gb"), F.col("bands").alias("bb"))
+    few = carried.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"), F.col("of").alias("oa"))
+    all_ = carried.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most", F.col("of").alias("ob"))
     met = few.join(all_, ["band", "i", "j"]).where("ca <> cb AND (cb = most OR a < b)")
     if "sig" in found.columns:
-        met = met.where(agreed(F.col("ga"), F.col("gb")) >= AGREE)
-    met = met.where(F.array_min(F.array_intersect("ba", "bb")) == F.col("band"))
+        met = met.where(agreed(F.col("oa.sig"), F.col("ob.sig")) >= AGREE)
+    met = met.where(possible(F.col("oa.marks"), F.col("oa.n"), F.col("ob.marks"), F.col("ob.n"), similarity))
+    met = met.where(F.array_min(F.array_intersect("oa.bands", "ob.bands")) == F.col("band"))
     # |A and B| / |A or B| >= s says |A and B| >= s / (1 + s) * (|A| + |B|), with the intersection named once.
     least = (similarity - MARGIN) / (1 + similarity - MARGIN)
-    near = met.where(F.size(F.array_intersect("sa", "sb")) >= F.lit(least) * (F.size("sa") + F.size("sb")))
+    near = met.where(F.size(F.array_intersect("oa.set", "ob.set")) >= F.lit(least) * (F.size("oa.set") + F.size("ob.set")))
     out = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "open-pairs")
-    for made in (named, sized, sets):
+    for made in (named, sized, texts, sets):
         discard(made)
     return out
 
@@ -259,10 +294,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     with a word, and those of them that left."""
     lines = stored(lines_of(docs, doc_id, text), "lines")
     signed = stored(signatures(lines), "signatures")
-    similar = similar_lines(lines, signed.withColumn("bands", bands_of(F.col("sig"))), similarity)
-    discard(signed)
+    similar = similar_lines(lines, signed.where("sig IS NOT NULL").select("key", "sig", bands_of(F.col("sig")).alias("bands")), similarity)
     linked = stored(connected_components(similar).withColumnRenamed("node", "key"), "components")
-    again = stored(lines.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1").select("key").unionByName(linked.select("key")).distinct(), "again")
+    again = stored(signed.where("many").select("key").unionByName(linked.select("key")).distinct(), "again")
     places = stored(marked(lines.select("key", "key2", "doc", "rid", "pos"), "key", bitmap(again, "key")).where("__hit").drop("__hit"), "places")
     discard(lines)
     found = stored(places_of(places), "firsts")
@@ -277,7 +311,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     counted = hits.groupBy("doc", "rid", "pos").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays")
     out = counted.groupBy("doc", "rid").agg(F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("__drop"), F.max(F.col("n") > 1).alias("__again"))
     out = stored(out.select(F.col("doc").alias("__doc2"), F.col("rid").alias("__rid2"), "__drop", "__again"), "dropped")
-    for made in (linked, again, places, found, joined, repeated, hits):
+    for made in (signed, linked, again, places, found, joined, repeated, hits):
         discard(made)
 
     names = docs.columns
