@@ -420,6 +420,21 @@ def test_marks_lose_no_alike_lines(spark):
     assert want and want <= got and len(got - want) < 0.3 * (150 - len(want))
 
 
+def test_cells_are_dealt_once_and_compared_by_compiled_code(spark, monkeypatch):
+    """Else a large band is split into pieces by bytes, each with all that it meets, and each pair is interpreted."""
+    lines = spark.createDataFrame([(k, "the quick brown fox jumps over the lazy dog " + str(k)) for k in range(1, 9)], "key bigint, line string")
+    found = spark.createDataFrame([(k, [10], list(range(21))) for k in range(1, 9)], "key bigint, bands array<bigint>, sig array<int>")
+    members = found.select("key", F.explode("bands").alias("band"), F.lit(1).alias("lo"), F.lit(8).alias("hi"), F.lit(8).alias("n"))
+    plans, real = {}, ln.stored
+    monkeypatch.setattr(ln, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or real(df, name))
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    assert ln.open_pairs(members, none, lines, found, 0.8).count() == 15
+    met = plans["open-pairs"]
+    assert met.count("REPARTITION_BY_COL") == 2
+    assert "zip_with" not in met and "zipwith" not in met and "bit_count" in met
+    assert "exists" in met, "with compiled functions alone the join is one method too large for the compiler"
+
+
 @pytest.mark.parametrize("words", [32, 1])
 def test_pairs_that_marks_cannot_tell_apart_leave_where_they_meet(spark, monkeypatch, words):
     """Lines with more windows than bits: their windows are compared in the cell, so the texts of such pairs do not travel."""

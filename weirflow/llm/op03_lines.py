@@ -50,7 +50,7 @@ AGREE = 11
 #: Least and most bits of a bitmap; the most is broadcast as 2 ** 20 longs.
 BITS = 1 << 22, 1 << 26
 #: Lines to a side of a cell, where lines of one band meet.
-CELL = 512
+CELL = 256
 #: Windows hashed in one row, so that the minima of a row's windows are taken before they are gathered.
 BLOCK = 16
 #: Words of 64 bits that mark a line's windows where lines of one band meet.
@@ -176,7 +176,8 @@ def possible(ma: Column, na: Column, mb: Column, nb: Column, similarity: float)
     """Whether lines of these marks and numbers of windows can be alike; no pair
     that is alike fails. |A and B| / |A or B| >= s says that at most
     (1 - s) / (1 + s) * (|A| + |B|) windows are in one line only."""
-    apart = F.aggregate(F.zip_with(ma, mb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # Word by word: a function over the arrays would be interpreted for each pair.
+    apart = sum((F.bit_count(ma[k].bitwiseXOR(mb[k])) for k in range(WORDS)), F.lit(0))
     return apart <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (na + nb)
 
 
@@ -237,11 +238,14 @@ def open_pairs(members: DataFrame, linked: DataFrame, lines: DataFrame, found: D
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     few = carried.where("c <> most").select("band", part("rows").alias("i"), every("cols").alias("j"), F.col("key").alias("a"), F.col("c").alias("ca"), F.col("of").alias("oa"))
     all_ = carried.select("band", every("rows").alias("i"), part("cols").alias("j"), F.col("key").alias("b"), F.col("c").alias("cb"), "most", F.col("of").alias("ob"))
+    # Cells are dealt once: they are small, and a skewed join would be split in bytes, each piece with all that it meets.
+    few, all_ = few.repartition("band", "i", "j"), all_.repartition("band", "i", "j")
     met = few.join(all_, ["band", "i", "j"]).where("ca <> cb AND (cb = most OR a < b)")
     if "sig" in found.columns:
         met = met.where(agreed(F.col("oa.sig"), F.col("ob.sig")) >= AGREE)
     met = met.where(possible(F.col("oa.marks"), F.col("oa.n"), F.col("ob.marks"), F.col("ob.n"), similarity))
-    met = met.where(F.array_min(F.array_intersect("oa.bands", "ob.bands")) == F.col("band"))
+    # A function over an array keeps the join out of whole-stage code, where its condition would be one long method (slower, measured).
+    met = met.where(~F.exists("oa.bands", lambda x: (x < F.col("band")) & F.array_contains("ob.bands", x)))
     # |A and B| / |A or B| >= s says |A and B| >= s / (1 + s) * (|A| + |B|), with the intersection named once.
     least = (similarity - MARGIN) / (1 + similarity - MARGIN)
     near = met.where(F.size(F.array_intersect("oa.set", "ob.set")) >= F.lit(least) * (F.size("oa.set") + F.size("ob.set")))
