@@ -435,6 +435,11 @@ def test_cells_are_dealt_once_and_compared_by_compiled_code(spark, monkeypatch):
     assert "exists" in met, "with compiled functions alone the join is one method too large for the compiler"
 
 
+def test_a_text_is_hashed_once_not_for_each_line(spark):
+    plan = ln.lines_of(docs(spark, [(0, "a\nb")]), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("AS rid") > plan.index("Generate posexplode")
+
+
 @pytest.mark.parametrize("words", [32, 1])
 def test_pairs_that_marks_cannot_tell_apart_leave_where_they_meet(spark, monkeypatch, words):
     """Lines with more windows than bits: their windows are compared in the cell, so the texts of such pairs do not travel."""

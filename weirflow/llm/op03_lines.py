@@ -134,7 +134,9 @@ def row_key(doc_id: str, text: str) -> Column:
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row for each line with a word: doc and rid (the row), pos, line, and
     key and key2, 128 bits that stand for the line."""
-    split = docs.select(F.col(f"`{doc_id}`").alias("doc"), row_key(doc_id, text).alias("rid"), F.posexplode(F.split(F.col(f"`{text}`"), "\n", -1)).alias("pos", "raw"))
+    # The row's key is found below the explode: beside it, the whole text would be hashed for each of its lines.
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), row_key(doc_id, text).alias("rid"), F.col(f"`{text}`").alias("body"))
+    split = rows.select("doc", "rid", F.posexplode(F.split("body", "\n", -1)).alias("pos", "raw"))
     lines = split.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("doc", "rid", "pos", normal(F.col("raw")).alias("line"))
     return lines.withColumns({"key": F.xxhash64("line"), "key2": F.xxhash64(F.lit(1), "line")})
 
